@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import distinct, mixing, overlap, packing, topn
+from . import distinct, mixing, overlap, packing, spam, topn
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
@@ -111,4 +111,13 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(mixing.measure(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_overlap_sizes, p4_found, p4_top_scores, p6_found, p6_distinct_tags, p6_distinct_genomes, p6_day_overlap, p7_found, p7_containers, p7_fill, p8_found, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_messages(table(spark, d, "documents"))
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score of the trees, rate of the sender's host and smoothed score of every message."""
+    return spam.score_messages(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_overlap_sizes, p4_found, p4_top_scores, p6_found, p6_distinct_tags, p6_distinct_genomes, p6_day_overlap, p7_found, p7_containers, p7_fill, p8_found, p8_mix, p8_shares, p9_found, p9_scores)}
