@@ -137,7 +137,8 @@ def pack(docs: DataFrame, capacity: int, vocabulary: str = DEFAULT_VOCABULARY, t
     histogram = {r["tokens"]: r["c"] for r in per_salt.groupBy("tokens").agg(F.sum("c").alias("c")).toLocalIterator()}
     plan = plan_containers(histogram, capacity, tiers)
     before = F.sum("c").over(W.partitionBy("tokens").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
-    starts = per_salt.select("tokens", "salt", F.coalesce(before, F.lit(0)).alias("start"))
+    # Merged on the keys the ranks are partitioned by already: nothing is broadcast and no row is moved again.
+    starts = per_salt.select("tokens", "salt", F.coalesce(before, F.lit(0)).alias("start")).hint("merge")
     local = F.row_number().over(W.partitionBy("tokens", "salt").orderBy("doc_id", "piece")) - 1
     ranked = solid.withColumn("local", local).join(starts, ["tokens", "salt"]).select("doc_id", "piece", "token_from", "tokens", (F.col("start") + F.col("local")).cast("bigint").alias("rank"))
     placed = ranked.mapInArrow(_place_task(plan, capacity, tiers, step_size), "doc_id BIGINT, piece INT, token_from BIGINT, tokens BIGINT, tier INT, container_id BIGINT, step_group BIGINT")
