@@ -39,6 +39,18 @@ def _tokens(site: str) -> list[str]:
     return out
 
 
+def _turned(tokens: list[str]) -> list[str]:
+    """The other strand's positions, from its own start."""
+    return ["[" + "".join(sorted(t.strip("[]").translate(COMPLEMENT))) + "]" if "[" in t else t.translate(COMPLEMENT) for t in reversed(tokens)]
+
+
+def _anchored(tokens: list[str]) -> str:
+    """A zero-length match where the site's first fixed bases lie, with the whole window as group 1: nearly all offsets fail at one base."""
+    start = next(i for i, t in enumerate(tokens) if t != "[ACGT]")
+    end = next(i for i in range(start, len(tokens) + 1) if i == len(tokens) or tokens[i] == "[ACGT]")
+    return f"(?={''.join(tokens[start:end])})(?<=(?=({_regex(tokens)})).{{{start}}})"
+
+
 def _regex(tokens: list[str]) -> str:
     out, i = [], 0
     while i < len(tokens):
@@ -67,8 +79,13 @@ class Enzyme:
     @cached_property
     def reverse(self) -> str:
         """The same site read on the other strand."""
-        turned = ["[" + "".join(sorted(t.strip("[]").translate(COMPLEMENT))) + "]" if "[" in t else t.translate(COMPLEMENT) for t in reversed(_tokens(self.site))]
-        return _regex(turned)
+        return _regex(_turned(_tokens(self.site)))
+
+    @cached_property
+    def anchored(self) -> tuple[str, ...]:
+        """One anchored expression for each strand on which the site reads differently."""
+        site = _tokens(self.site)
+        return tuple(dict.fromkeys(map(_anchored, (site, _turned(site)))))
 
     @cached_property
     def either(self) -> str:

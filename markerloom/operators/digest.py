@@ -23,11 +23,10 @@ def digest(seqs: DataFrame, keep: Sequence[str], enzymes: Sequence[str | int], s
 
     Lower-case bases count as upper-case; a window with any other letter gives no tag; null and short sequences give none.
     """
-    upper = seqs.select(*keep, F.upper(seq).alias("cut_seq"))
-    parts = [upper.select(*keep, F.lit(e.name).alias("enzyme"), F.explode(dna.all_windows("cut_seq", e)).alias("w")) for e in map(enzyme, enzymes)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    # All enzymes cut a sequence in one pass over the input.
+    sites = F.array(*[F.struct(F.lit(e.name).alias("enzyme"), dna.windows_of_both("cut_seq", e).alias("ws")) for e in map(enzyme, enzymes)])
+    per = seqs.select(*keep, F.upper(seq).alias("cut_seq")).select(*keep, F.explode(sites).alias("cut"))
+    out = per.select(*keep, F.col("cut.enzyme").alias("enzyme"), F.explode("cut.ws").alias("w"))
     return out.select(*keep, "enzyme", dna.canonical("w").alias("tag"))
 
 
@@ -60,16 +59,17 @@ def chunk_sequences(seqs: DataFrame, keep: Sequence[str], key: str | int, seq: s
 
 
 def _site_task(keep: list[str], e: Enzyme):
-    site = re.compile(f"(?=({e.either}))")
+    strands = [re.compile(r) for r in e.anchored]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, pos, window = [], [], []
             for i, (start, chunk) in enumerate(zip(batch.column("chunk_start").to_pylist(), batch.column("chunk").to_pylist(), strict=True)):
-                for m in site.finditer(chunk):
+                sites = {m.start(1): m.group(1) for site in strands for m in site.finditer(chunk)}
+                for offset in sorted(sites):
                     at.append(i)
-                    pos.append(start + m.start())
-                    window.append(m.group(1))
+                    pos.append(start + offset)
+                    window.append(sites[offset])
             rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(k).take(rows) for k in keep], pa.array(pos, pa.int64()), pa.array(window, pa.string())], names=[*keep, "pos", "w"])
 
@@ -97,7 +97,7 @@ def digest_stats(seqs: DataFrame, sample: str, key: str | int, seq: str = "seq",
     ok = F.lit(True)
     if quality is not None:
         ok = quality.few_n(seq) & (quality.good_quality(qual) if qual else F.lit(True))
-    tags = F.when(ok, F.size(dna.all_windows(F.upper(seq), e))).otherwise(0)
+    tags = F.when(ok, F.size(dna.windows_of_both(F.upper(seq), e))).otherwise(0)
     per = seqs.select(F.col(sample).alias("sample"), F.coalesce(F.greatest(tags, F.lit(0)), F.lit(0)).alias("t")).groupBy("sample").agg(F.count(F.lit(1)).alias("input_sequences"), F.sum("t").cast("bigint").alias("tag_count"))
     percent = F.coalesce(F.try_divide(F.col("tag_count") * 100.0, F.col("input_sequences").cast("double")), F.lit(0.0))
     return per.select("sample", F.lit(e.name).alias("enzyme"), "input_sequences", "tag_count", F.format_string("%.2f%%", percent).alias("percent"))

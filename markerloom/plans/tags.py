@@ -12,7 +12,7 @@ from ..enzymes import ENZYMES, catalog, enzyme
 from ..functions import dna
 from ..functions import taxonomy as tx
 from ..operators import digest, features, inspect, markers, matrix, profile
-from ..session import table
+from ..session import spread, table
 
 MIXED = ("BcgI", "AlfI", "Hin4I")
 _LETTERS = string.ascii_uppercase + string.ascii_lowercase
@@ -25,7 +25,7 @@ def _bases(text: str = "text"):
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     """(gcf_id, sample, seq, lang, source) of each message with text."""
-    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source")).where("text IS NOT NULL")
     return docs.select(F.col("doc_id").cast("string").alias("gcf_id"), F.concat(F.lit("s"), F.pmod("doc_id", F.lit(4)).cast("string")).alias("sample"), _bases().alias("seq"), "lang", "source", "text")
 
 
@@ -53,7 +53,7 @@ def enzyme_catalog(spark, d):
 
 def digest_all16_counts(spark, d):
     docs = _docs(spark, d)
-    per = docs.select(*[F.coalesce(F.size(dna.all_windows("seq", e)), F.lit(0)).cast("bigint").alias(e.name) for e in ENZYMES])
+    per = docs.select(*[F.coalesce(F.size(dna.windows_of_both("seq", e)), F.lit(0)).cast("bigint").alias(e.name) for e in ENZYMES])
     totals = per.agg(*[F.coalesce(F.sum(e.name), F.lit(0)).alias(e.name) for e in ENZYMES])
     return totals.unpivot([], [e.name for e in ENZYMES], "enzyme", "n_tags")
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 
@@ -74,7 +73,7 @@ def sized_broadcast(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
-def worker_threads() -> None:
-    """Keep native libraries in a Python worker to its own core."""
-    for name in ("OMP_NUM_THREADS", "TOKENIZERS_PARALLELISM"):
-        os.environ.setdefault(name, "1" if name.startswith("OMP") else "false")
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of too few files over all cores before costly work on each row; inputs of enough partitions are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
