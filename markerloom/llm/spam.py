@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, sized_broadcast
+from ..session import materialize, sized_broadcast, spread
 from .mail import END, LINK, own_lines
 
 #: Weakly labelled messages the trees are trained on at most (about; drawn by a hash of the id).
@@ -188,7 +188,7 @@ def _feature_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def message_features(docs: DataFrame) -> DataFrame:
     """doc_id, host (domain of from_addr, or null), x (features), label (1, 0 or -1) of every message."""
     host = F.nullif(F.lower(F.regexp_extract("from_addr", r"@([^@>\s]+)>?\s*$", 1)), F.lit(""))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), host.alias("host"), "text").mapInArrow(_feature_task, "doc_id BIGINT, host STRING, x ARRAY<DOUBLE>, label INT")
+    return spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), host.alias("host"), "text")).mapInArrow(_feature_task, "doc_id BIGINT, host STRING, x ARRAY<DOUBLE>, label INT")
 
 
 def training_sample(measured: DataFrame, bound: int = TRAINING_ROWS) -> tuple[np.ndarray, np.ndarray]:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Vocabulary of the byte-level BPE; the folder is a parameter of every operator that measures texts.
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -43,5 +45,5 @@ def token_counts(docs: DataFrame, keep: Sequence[str], text: str = "text", vocab
     """The columns ``keep`` with ``tokens``, the length of the whole text; null and empty texts have 0. Strings of special tokens are ordinary text."""
     keep = list(keep)
     types = dict(docs.select(*keep).dtypes)
-    work = docs.select(*keep, F.col(text).alias("measured_text"))
+    work = spread(docs.select(*keep, F.col(text).alias("measured_text")))
     return work.mapInArrow(_count_task(keep, vocabulary), ", ".join([*[f"`{k}` {types[k]}" for k in keep], "tokens BIGINT"]))
