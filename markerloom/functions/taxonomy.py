@@ -34,7 +34,7 @@ def accession(name: Column | str) -> Column:
 
 def _stripped(lineage: Column | str) -> Column:
     parts = F.split(lineage, ";")
-    return F.transform(parts, lambda x: F.trim(F.when(F.instr(x, "__") > 0, F.regexp_replace(x, "^.*?__", "")).otherwise(x)))
+    return F.transform(parts, lambda x: F.when(F.instr(x, "__") > 0, F.regexp_replace(x, "^.*?__", "")).otherwise(x))
 
 
 def parse_lineage(lineage: Column | str, genome: Column | str, strict: bool = False) -> Column:
@@ -45,7 +45,7 @@ def parse_lineage(lineage: Column | str, genome: Column | str, strict: bool = Fa
     g = F.col(genome) if isinstance(genome, str) else genome
     ranks = _stripped(lineage)
     if strict:
-        ranks = F.filter(ranks, lambda x: x != "")
+        ranks = F.filter(F.transform(ranks, lambda x: F.trim(x)), lambda x: x != "")
         seven = F.slice(ranks, 1, 7)
         return F.when(F.size(ranks) >= 7, F.concat(seven, F.array(F.concat(F.element_at(seven, 7), F.lit(" "), g))))
     missing = F.greatest(F.lit(7) - F.size(ranks), F.lit(0))

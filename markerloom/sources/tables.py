@@ -47,7 +47,7 @@ def genome_list(spark: SparkSession, path: str) -> DataFrame:
 def rank_list(spark: SparkSession, path: str) -> DataFrame:
     """(gcf_id, taxonomy): an id and any number of ranks, each trimmed."""
     rows = data_lines(spark, path).where(F.size("parts") >= 2)
-    return rows.select(F.trim(F.col("parts")[0]).alias("gcf_id"), F.transform(F.slice("parts", F.lit(2), F.size("parts") - 1), F.trim).alias("taxonomy"))
+    return rows.select(F.trim(F.col("parts")[0]).alias("gcf_id"), F.transform(F.slice("parts", F.lit(2), F.size("parts") - 1), lambda x: F.trim(x)).alias("taxonomy"))
 
 
 def profile_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
