@@ -1,0 +1,77 @@
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from markerloom.llm import packing, tokens
+
+
+def docs(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING").withColumn("tokens", F.lit("clash")).withColumn("rank", F.lit(1)).withColumn("piece", F.lit(1))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=20))
+def test_plan_places_everything_once(histogram):
+    plan = packing.plan_containers(histogram, 64, 4)
+    assert plan.used == sum(s * c for s, c in histogram.items())
+    load = Counter()
+    import numpy as np
+
+    for size, count in histogram.items():
+        at = plan.place(np.full(count, size), np.arange(count))
+        for c in at.tolist():
+            load[c] += size
+    assert all(v <= 64 for v in load.values()) and sorted(load) == list(range(plan.containers))
+    # Largest first: no two containers could have been one.
+    assert plan.containers <= 2 * plan.used / 64 + 1
+
+
+def test_plan_is_dense():
+    r = random.Random(2)
+    histogram = Counter(min(8192, int(r.lognormvariate(6, 1)) + 1) for _ in range(20_000))
+    plan = packing.plan_containers(histogram, 8192)
+    assert plan.used / (plan.containers * 8192) > 0.995
+    with pytest.raises(ValueError):
+        packing.plan_containers({9: 1}, 8)
+
+
+def test_pack(spark):
+    encoding = tokens.load_encoding(tokens.DEFAULT_VOCABULARY)
+    texts = [None, "", *["same text here"] * 40, "word " * 1000, "<|endoftext|>", *[f"text {i} " + "and more " * (i % 60) for i in range(300)]]
+    want = [len(encoding.encode_ordinary(t)) if t else 0 for t in texts]
+    out = packing.pack(docs(spark, texts), 128, step_size=4).collect()
+    per = defaultdict(list)
+    for r in out:
+        per[r["doc_id"]].append(r)
+    assert sorted(per) == list(range(len(texts)))
+    for i, n in enumerate(want):
+        parts = sorted(per[i], key=lambda r: r["piece"])
+        assert sum(r["tokens"] for r in parts) == n and len(parts) == max(1, -(-n // 128))
+        assert [r["token_from"] for r in parts] == [128 * k for k in range(len(parts))]
+        assert all((r["container_id"] is None) == (n == 0) for r in parts)
+    load, steps = Counter(), defaultdict(set)
+    for r in out:
+        if r["container_id"] is not None:
+            load[r["container_id"]] += r["tokens"]
+            steps[r["step_group"]].add(r["container_id"])
+            assert r["tier"] == packing.tier_of(r["tokens"], 128)
+    assert max(load.values()) <= 128 and len(load) <= sum(want) / 128 * 1.05 + 1
+    assert max(map(len, steps.values())) - min(map(len, steps.values())) <= 1
+    assert [r["doc_id"] for r in packing.cut_documents(packing.pack(docs(spark, texts), 128)).collect()] == [i for i, n in enumerate(want) if n > 128]
+    fill = packing.container_fill(packing.pack(docs(spark, texts), 128), 128).collect()
+    assert sum(r["tokens"] for r in fill) == sum(want)
+
+
+def test_exact_capacity_repeats_and_empty(spark):
+    encoding = tokens.load_encoding(tokens.DEFAULT_VOCABULARY)
+    n = len(encoding.encode_ordinary("one two three"))
+    twice = spark.createDataFrame([(1, "one two three"), (1, "one two three")], "doc_id BIGINT, text STRING")
+    assert sorted(r["container_id"] for r in packing.pack(twice, n).collect()) == [0, 1]
+    assert packing.cut_documents(packing.pack(twice, n)).count() == 0
+    assert packing.pack(twice.limit(0), 8).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(twice, 0)
