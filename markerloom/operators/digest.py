@@ -101,3 +101,13 @@ def digest_stats(seqs: DataFrame, sample: str, key: str | int, seq: str = "seq",
     per = seqs.select(F.col(sample).alias("sample"), F.coalesce(F.greatest(tags, F.lit(0)), F.lit(0)).alias("t")).groupBy("sample").agg(F.count(F.lit(1)).alias("input_sequences"), F.sum("t").cast("bigint").alias("tag_count"))
     percent = F.coalesce(F.try_divide(F.col("tag_count") * 100.0, F.col("input_sequences").cast("double")), F.lit(0.0))
     return per.select("sample", F.lit(e.name).alias("enzyme"), "input_sequences", "tag_count", F.format_string("%.2f%%", percent).alias("percent"))
+
+
+def single_tag_stats(reads: DataFrame, sample: str, key: str | int, seq: str = "seq", qual: str | None = None, quality: dna.ReadQuality | None = None) -> DataFrame:
+    """Single-tag libraries: reads, reads with a site, those of them that pass the read filter, and their percentage of all reads."""
+    work = reads.select(F.col(sample).alias("sample"), F.col(seq).alias("read_seq"), (F.col(qual) if qual else F.lit(None).cast("string")).alias("read_qual"))
+    found = first_tags(work, ["sample"], key, "read_seq", "read_qual", quality).groupBy("sample").agg(F.count(F.lit(1)).alias("found"), F.count_if("passed").alias("passed"))
+    per = work.groupBy("sample").agg(F.count(F.lit(1)).alias("input_reads_num")).join(found, "sample", "left")
+    good = F.coalesce("passed", F.lit(0))
+    percent = F.coalesce(F.try_divide(good * 100.0, F.col("input_reads_num").cast("double")), F.lit(0.0))
+    return per.select("sample", F.lit(enzyme(key).name).alias("enzyme"), "input_reads_num", F.coalesce("found", F.lit(0)).alias("enzyme_reads_num"), good.alias("qc_reads_num"), F.format_string("%.2f%%", percent).alias("percent"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NAMES = ("f_coverage", "f_strength", "f_depth", "f_share")
 
@@ -39,5 +40,5 @@ def _predict_task(model: bytes):
 
 def predict_presence(features: DataFrame, model: bytes) -> DataFrame:
     """Adds the model's label; the model takes [n, 4] floats and its first output is one integer per row."""
-    schema = features.schema.add("prediction", "long")
+    schema = T.StructType([*features.schema.fields, T.StructField("prediction", T.LongType())])
     return features.mapInPandas(_predict_task(model), schema)

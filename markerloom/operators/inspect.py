@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..enzymes import ENZYMES
+from ..functions.taxonomy import RANKS
+
 
 def stream_kind(file_name: Column | str, first_id: Column | str) -> Column:
     """``reads``, ``positions``, ``digest`` or ``contigs``, by the file's ending or else the form of its first id."""
@@ -30,9 +33,11 @@ def tag_counts(tags: DataFrame, tag: str = "tag", group: str = "gcf_id") -> Data
     return tags.agg(F.count(F.lit(1)).alias("n_records"), F.count_distinct(tag).alias("n_tags"), F.count_distinct(group).alias("n_groups"))
 
 
-def top_groups(tags: DataFrame, group: str = "gcf_id", k: int = 10) -> DataFrame:
-    """The ``k`` groups with the most records, equal ones by name: a top-k report."""
-    return tags.groupBy(group).agg(F.count(F.lit(1)).alias("n_records")).orderBy(F.desc("n_records"), F.asc(group)).limit(k)
+def top_groups(tags: DataFrame, group: str = "gcf_id", k: int = 10, tie: str | None = None) -> DataFrame:
+    """The ``k`` groups with the most records, equal ones by name, or by the smallest ``tie`` (such as the place in a genome list): a top-k report."""
+    first = [F.min(tie).alias("tie")] if tie else []
+    per = tags.groupBy(group).agg(F.count(F.lit(1)).alias("n_records"), *first)
+    return per.orderBy(F.desc("n_records"), *(["tie"] if tie else []), F.asc(group)).limit(k).select(group, "n_records")
 
 
 def preview(tags: DataFrame, order: list[str], n: int = 5) -> DataFrame:
@@ -47,3 +52,12 @@ def human_bytes(n: Column | str) -> Column:
     for i, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
         out = F.when(c >= 1024.0**i, F.format_string(f"%.2f {unit}", c / 1024.0**i)).otherwise(out)
     return out
+
+
+def name_hints(file_name: Column | str) -> tuple[Column, Column]:
+    """Enzyme and rank that a file name such as ``BcgI.species.iibdb`` speaks of, or null."""
+    c = F.col(file_name) if isinstance(file_name, str) else file_name
+    parts = F.split(F.substring_index(c, "/", -1), r"\.")
+    names = F.create_map(*[F.lit(x) for e in ENZYMES for x in (e.name.lower(), e.name)])
+    known = F.filter(F.transform(parts, lambda x: F.try_element_at(names, F.lower(x))), lambda x: x.isNotNull())
+    return F.try_element_at(known, F.lit(1)), F.try_element_at(F.filter(parts, lambda x: x.isin(*RANKS)), F.lit(1))

@@ -65,3 +65,8 @@ def find_genomes(profile: DataFrame, detected: DataFrame, g_score: float = 5.0,
     """Genomes (sample, gcf_id, taxon) for a sample's own database: of taxa above ``g_score`` in any enzyme, with more than ``min_tags`` tags in any enzyme."""
     passing = profile.where(F.round("g_score", 8) > int(g_score)).select("sample", "taxon").distinct()
     return detected.where(F.col("detected") > min_tags).join(passing, ["sample", "taxon"], "left_semi").select("sample", "gcf_id", "taxon").distinct()
+
+
+def selected_lineages(selected: DataFrame, genomes: DataFrame) -> DataFrame:
+    """(sample, gcf_id, taxonomy) of the selected genomes that are listed, in order of sample and genome."""
+    return selected.select("sample", "gcf_id").distinct().join(genomes.select("gcf_id", "taxonomy"), "gcf_id").select("sample", "gcf_id", "taxonomy").orderBy("sample", "gcf_id")

@@ -44,10 +44,10 @@ class Database:
 
 
 class Stages:
-    """Stage results under a folder: ``<folder>/<stage>-<fingerprint>``; a folder with ``_SUCCESS`` is read instead of being made again."""
+    """Stage results under a folder: ``<folder>/<stage>-<fingerprint>``; with ``reuse`` a folder with ``_SUCCESS`` is read instead of being made again."""
 
-    def __init__(self, spark: SparkSession, folder: str | None, inputs: object = None):
-        self.spark, self.folder = spark, folder.rstrip("/") if folder else None
+    def __init__(self, spark: SparkSession, folder: str | None, inputs: object = None, reuse: bool = True):
+        self.spark, self.folder, self.reuse = spark, folder.rstrip("/") if folder else None, reuse
         self.mark = hashlib.sha256(json.dumps(inputs, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
     def _done(self, path: str) -> bool:
@@ -59,7 +59,7 @@ class Stages:
         if self.folder is None:
             return make()
         path = f"{self.folder}/{stage}-{self.mark}"
-        if not self._done(path):
+        if not (self.reuse and self._done(path)):
             writer = make().write.mode("overwrite").option("compression", "zstd")
             (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         return self.spark.read.parquet(path)
@@ -110,22 +110,23 @@ def merge_samples(profiles: DataFrame, settings: Settings) -> tuple[DataFrame, D
     return long, matrix.without_contamination(long, settings.controls, settings.mocks)
 
 
-def run(contigs: DataFrame, genomes: DataFrame, reads: DataFrame, settings: Settings = Settings(), folder: str | None = None, mapping: DataFrame | None = None, inputs: object = None, mode: str = "full") -> dict[str, DataFrame]:
+def run(contigs: DataFrame, genomes: DataFrame, reads: DataFrame, settings: Settings = Settings(), folder: str | None = None, mapping: DataFrame | None = None, inputs: object = None, mode: str = "full", sample_inputs: object = None, reuse: bool = True) -> dict[str, DataFrame]:
     """``full``, ``db-only`` (contigs and genomes alone) or ``sample-only`` (the database must be in ``folder`` already).
 
-    ``inputs`` names what the stages were made from; with the settings it is their fingerprint.
+    ``inputs`` names what the database is made from, ``sample_inputs`` what the profiles are made from besides; with the
+    settings they are the stages' fingerprints. Without ``reuse`` stages are made anew, but for the database of ``sample-only``.
     """
     if mode not in ("full", "db-only", "sample-only"):
         raise ValueError(f"unknown mode {mode!r}")
     spark = genomes.sparkSession
-    base = Stages(spark, folder, ["database", inputs, settings.enzymes, settings.level, settings.drop_redundant])
+    base = Stages(spark, folder, ["database", inputs, settings.enzymes, settings.level, settings.drop_redundant], reuse or mode == "sample-only")
     if mode == "sample-only" and (folder is None or not base._done(f"{base.folder}/markers-{base.mark}")):
         raise ValueError("sample-only needs a database made before in the same folder")
     db = build_database(contigs, genomes, settings, base)
     out = {"markers": db.markers, "theory": db.theory}
     if mode == "db-only":
         return out
-    out |= profile_samples(reads, db, settings, Stages(spark, folder, ["samples", inputs, settings]))
+    out |= profile_samples(reads, db, settings, Stages(spark, folder, ["samples", inputs, sample_inputs, settings], reuse))
     out["merged"], out["filtered"] = merge_samples(out["quantitative"], settings)
     if mapping is not None:
         out["functions"] = matrix.predict(out["merged"], mapping)

@@ -12,7 +12,7 @@ from ..enzymes import ENZYMES, catalog, enzyme
 from ..functions import dna
 from ..functions import taxonomy as tx
 from ..operators import digest, features, inspect, markers, matrix, profile
-from ..session import spread, table
+from ..session import materialize, spread, table
 
 MIXED = ("BcgI", "AlfI", "Hin4I")
 _LETTERS = string.ascii_uppercase + string.ascii_lowercase
@@ -139,17 +139,33 @@ def theory_gcf(spark, d):
     return markers.gcf_theory(_markers(spark, d), ["enzyme"]).select("enzyme", "taxon", "gcf_id", "theory")
 
 
-def _depth(spark, d, names=("BcgI",)):
-    return profile.tag_depth(_cut(spark, d, names, ["sample"]), ["sample", "enzyme"])
+def tag_depth(spark, d):
+    return profile.tag_depth(_cut(spark, d, keep=["sample"]), ["sample", "enzyme"])
 
 
-def tag_depth(spark, d):
-    return _depth(spark, d)
+class Study:
+    """The messages as genomes and as reads: cut once and written, as are the markers, since every later step uses both again."""
+
+    def __init__(self, spark: SparkSession, d: str, names: tuple[str, ...] = ("BcgI",)):
+        self.genomes = _genomes(spark, d)
+        self.cut = materialize(_cut(spark, d, names, ["gcf_id", "sample"]), "digest")
+        self.markers = materialize(markers.unique_markers(markers.tag_occurrences(self.cut, self.genomes, ["species"], ["enzyme"]), ["enzyme"]), "markers")
+        self.depth = profile.tag_depth(self.cut, ["sample", "enzyme"])
+
+    def profile(self, thresholds: profile.Thresholds = profile.Thresholds()) -> DataFrame:
+        return profile.abundance(self.depth, self.markers, markers.taxon_theory(self.markers, ["enzyme"]), thresholds, db=["enzyme"])
 
+    def detected(self) -> DataFrame:
+        return profile.gcf_detected(self.depth, self.markers, markers.gcf_theory(self.markers, ["enzyme"]), db=["enzyme"])
 
-def _profile(spark, d, names=("BcgI",), thresholds=profile.Thresholds()):
-    m = _markers(spark, d, names=names)
-    return profile.abundance(_depth(spark, d, names), m, markers.taxon_theory(m, ["enzyme"]), thresholds, db=["enzyme"])
+    def selected(self) -> DataFrame:
+        return profile.find_genomes(self.profile(), self.detected(), 2, 0)
+
+    def own_markers(self) -> DataFrame:
+        return materialize(markers.sample_markers(self.cut, self.selected(), self.genomes, "species"), "own-markers")
+
+    def long(self) -> DataFrame:
+        return matrix.normalise(self.profile(), decimals=8)
 
 
 _RATIOS = ("theoretical_tag_num", "percent", "reads_per_theoretical", "reads_per_sequenced", "g_score", "relative_abundance")
@@ -160,72 +176,56 @@ def _rounded(df: DataFrame, columns=_RATIOS) -> DataFrame:
 
 
 def abundance_full(spark, d):
-    return _rounded(_profile(spark, d))
+    return _rounded(Study(spark, d).profile())
 
 
 LIMITS = profile.Thresholds(g_score=2.0, tag_depth=1.0, percent=50.0, relative_abundance=2.0)
 
 
 def abundance_filtered(spark, d):
-    return _rounded(_profile(spark, d, thresholds=LIMITS))
-
-
-def _detected(spark, d, names=("BcgI",)):
-    m = _markers(spark, d, names=names)
-    return profile.gcf_detected(_depth(spark, d, names), m, markers.gcf_theory(m, ["enzyme"]), db=["enzyme"])
+    return _rounded(Study(spark, d).profile(LIMITS))
 
 
 def gcf_detected(spark, d):
-    return _rounded(_detected(spark, d), ["fraction"]).orderBy("sample", "taxon", "gcf_id")
-
-
-def _selected(spark, d, names=("BcgI",)):
-    return profile.find_genomes(_profile(spark, d, names), _detected(spark, d, names), 2, 0)
+    return _rounded(Study(spark, d).detected(), ["fraction"]).orderBy("sample", "taxon", "gcf_id")
 
 
 def find_genome(spark, d):
-    return _selected(spark, d)
+    return Study(spark, d).selected()
 
 
 def multi_enzyme_union(spark, d):
     """Genomes selected with several enzymes: a taxon that passes in any admits its genomes in every one."""
-    return _selected(spark, d, MIXED)
+    return Study(spark, d, MIXED).selected()
 
 
 def multi_enzyme_combine(spark, d):
-    return _rounded(_profile(spark, d, MIXED))
-
-
-def _own_markers(spark, d):
-    return markers.sample_markers(_cut(spark, d), _selected(spark, d), _genomes(spark, d), "species")
+    return _rounded(Study(spark, d, MIXED).profile())
 
 
 def quan_markers_per_sample(spark, d):
-    return _own_markers(spark, d).select("sample", "tag", "gcf_id", "taxon")
+    return Study(spark, d).own_markers().select("sample", "tag", "gcf_id", "taxon")
 
 
 def abundance_quantitative(spark, d):
-    own = _own_markers(spark, d)
-    return _rounded(profile.abundance(_depth(spark, d).drop("enzyme"), own, markers.taxon_theory(own, ["sample"]), db=["sample"]))
-
-
-def _long(spark, d):
-    return matrix.normalise(_profile(spark, d), decimals=8)
+    study = Study(spark, d)
+    own = study.own_markers()
+    return _rounded(profile.abundance(study.depth.drop("enzyme"), own, markers.taxon_theory(own, ["sample"]), db=["sample"]))
 
 
 def merge_long(spark, d):
-    return _rounded(_long(spark, d), ["value"])
+    return _rounded(Study(spark, d).long(), ["value"])
 
 
 SAMPLES = ("s0", "s1", "s2", "s3")
 
 
 def merge_pivot(spark, d):
-    return _rounded(matrix.pivot(_long(spark, d), SAMPLES), SAMPLES).orderBy("taxon")
+    return _rounded(matrix.pivot(Study(spark, d).long(), SAMPLES), SAMPLES).orderBy("taxon")
 
 
 def merge_filtered(spark, d):
-    return _rounded(matrix.without_contamination(_long(spark, d), "s3"), ["value"])
+    return _rounded(matrix.without_contamination(Study(spark, d).long(), "s3"), ["value"])
 
 
 def _mapping(spark, d):
@@ -234,19 +234,19 @@ def _mapping(spark, d):
 
 
 def predict_long(spark, d):
-    return _rounded(matrix.predict(_long(spark, d), _mapping(spark, d)), ["value"])
+    return _rounded(matrix.predict(Study(spark, d).long(), _mapping(spark, d)), ["value"])
 
 
 def predict_pivot(spark, d):
-    return _rounded(matrix.pivot(matrix.predict(_long(spark, d), _mapping(spark, d)), SAMPLES, "function"), SAMPLES)
+    return _rounded(matrix.pivot(matrix.predict(Study(spark, d).long(), _mapping(spark, d)), SAMPLES, "function"), SAMPLES)
 
 
 def predict_matched(spark, d):
-    return matrix.matched_species(_long(spark, d), _mapping(spark, d).where("species != 'labops'"))
+    return matrix.matched_species(Study(spark, d).long(), _mapping(spark, d).where("species != 'labops'"))
 
 
 def classify_features(spark, d):
-    f = features.classifier_features(_profile(spark, d))
+    f = features.classifier_features(Study(spark, d).profile())
     return f.select("sample", "taxon", *[F.round(F.col(n).cast("double"), 4).alias(n) for n in features.NAMES])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
 from ..operators import markers, matrix, profile
-from ..session import table
+from ..session import materialize, table
 
 SAMPLES = ("s0", "s1", "s2", "s3")
 
@@ -31,7 +31,7 @@ def _order_profile(spark, d) -> DataFrame:
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("tag"), F.concat(F.lit("s"), F.pmod("o_custkey", F.lit(4)).cast("string")).alias("sample"))
     # Depth per order first: the sample of an order is joined to one row instead of all its lines.
     counts = lines.groupBy("tag").agg(F.count(F.lit(1)).alias("depth")).join(orders, "tag")
-    m = _order_markers(spark, d)
+    m = materialize(_order_markers(spark, d), "markers")
     return profile.abundance(counts.groupBy("sample", "tag").agg(F.sum("depth").alias("depth")), m, markers.taxon_theory(m))
 
 

@@ -129,7 +129,7 @@ def write_table(df: DataFrame, path: str, header: bool = True, partition_by: lis
 def profile_rows(profile: DataFrame) -> DataFrame:
     """Metric columns as they stand in text: ratios with 8 decimals, the percentage with its sign."""
     f = lambda c: F.format_string("%.8f", F.col(c))
-    return profile.select("sample", "taxon", F.col("theoretical_tag_num").cast("string").alias("Theoretical_Tag_Num"), F.col("sequenced_tag_num").alias("Sequenced_Tag_Num"), F.format_string("%.8f%%", "percent").alias("Percent"), F.col("sequenced_reads_num").alias("Sequenced_Reads_Num"), f("reads_per_theoretical").alias("Sequenced_Reads_Num/Theoretical_Tag_Num"), f("reads_per_sequenced").alias("Sequenced_Reads_Num/Sequenced_Tag_Num"), F.col("sequenced_tag_num_gt1").alias("Sequenced_Tag_Num(depth>1)"), f("g_score").alias("G_Score"))
+    return profile.select("sample", "taxon", f("theoretical_tag_num").alias("Theoretical_Tag_Num"), F.col("sequenced_tag_num").alias("Sequenced_Tag_Num"), F.format_string("%.8f%%", "percent").alias("Percent"), F.col("sequenced_reads_num").alias("Sequenced_Reads_Num"), f("reads_per_theoretical").alias("Sequenced_Reads_Num/Theoretical_Tag_Num"), f("reads_per_sequenced").alias("Sequenced_Reads_Num/Sequenced_Tag_Num"), F.col("sequenced_tag_num_gt1").alias("Sequenced_Tag_Num(depth>1)"), f("g_score").alias("G_Score"))
 
 
 def write_classification(genomes: DataFrame, path: str) -> None:

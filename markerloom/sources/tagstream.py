@@ -38,11 +38,23 @@ class _File(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = files.expand(options["path"], SUFFIXES)
+        self.skip_broken = options.get("broken", "fail") == "skip"
 
     def partitions(self) -> list[InputPartition]:
         return [_File(p) for p in self.paths]
 
+    def _whole(self, path: str) -> bool:
+        try:
+            with files.open_input(path) as stream:
+                for _ in parse(stream):
+                    pass
+        except (ValueError, OSError):
+            return False
+        return True
+
     def read(self, partition: _File) -> Iterator[tuple]:
+        if self.skip_broken and not self._whole(partition.path):
+            return
         with files.open_input(partition.path) as stream:
             for i, (h, name) in enumerate(parse(stream), 1):
                 yield partition.path, i, h, name
@@ -86,7 +98,7 @@ class _Writer(DataSourceWriter):
 
 
 class TagStreamSource(DataSource):
-    """Columns file, ordinal, hash (signed 64 bits), id; written from columns hash and id. Options path, compression (zstd, gzip, none)."""
+    """Columns file, ordinal, hash (signed 64 bits), id; written from columns hash and id. Options path, compression (zstd, gzip, none), broken (fail, skip: leave a file out that can't be read to its end)."""
 
     @classmethod
     def name(cls) -> str:

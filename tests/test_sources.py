@@ -7,9 +7,9 @@ import zstandard
 from pyspark.sql import functions as F
 
 from markerloom.functions.dna import ReadQuality
-from markerloom.operators import matrix, profile
+from markerloom.operators import digest, features, matrix, profile
 from markerloom.plans import pipeline
-from markerloom.sources import fastx, files, tables, tagdb, tagstream
+from markerloom.sources import collections, fastx, files, tables, tagdb, tagstream
 from markerloom.streaming import tag_counts
 
 
@@ -174,3 +174,69 @@ def test_streamed_depth_equals_batch(spark, sf, tmp_path):
     q = windows.writeStream.outputMode("append").format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("windows").count() > 0
+
+
+def test_made_digests_and_descriptions(spark, tmp_path):
+    def put(name, *records):
+        (tmp_path / name).write_bytes(b"".join(tagstream.pack(*r) for r in records))
+
+    put("GCF_1.1.BcgI.iibdb", (1, "chr:1:5"), (2, "chr"))
+    put("GCF_1.1.BcgI.iibsp", (9, "x:1"))
+    put("GCF_2.1.BcgI.iibsp", (3, "GCF_7.1|0|c2|8|0|0"))
+    (tmp_path / "GCF_3.1.BcgI.iibdb").write_bytes(tagstream.pack(4, "abc")[:-1])
+    genomes = spark.createDataFrame([("GCF_1.1",), ("GCF_2.1",), ("GCF_3.1",), ("GCF_4.1",), (None,)], "gcf_id STRING")
+    got = collections.made_digests(spark, genomes, str(tmp_path), "BcgI")
+    assert {tuple(r) for r in got.collect()} == {("GCF_1.1", "chr:1", 5, 1), ("GCF_1.1", "chr", 0, 2), ("GCF_2.1", "GCF_7.1|0|c2|8|0|0", 0, 3)}
+    own = collections.made_digests(spark, genomes, str(tmp_path), "BcgI", for_samples=True)
+    assert ("GCF_7.1", "c2", 8, 3) in {tuple(r) for r in own.collect()}
+    assert [r["gcf_id"] for r in collections.digest_files(spark, genomes, str(tmp_path), "BcgI").where("path IS NULL").collect()] == ["GCF_4.1"]
+    (tmp_path / "AlfI.genus.iibdb").write_bytes(b"IIBC" + struct.pack("<IQI", 3, 1, 1) + b"\1\0g" + zstandard.compress(struct.pack("<qI", 6, 0)))
+    rows, broken = collections.describe_files(spark, str(tmp_path))
+    by = {r["file"].rsplit("/", 1)[-1]: r for r in rows.collect()}
+    assert (by["AlfI.genus.iibdb"]["enzyme"], by["AlfI.genus.iibdb"]["level"], by["AlfI.genus.iibdb"]["kind"], by["AlfI.genus.iibdb"]["records"]) == ("AlfI", "genus", "database", 1)
+    assert by["GCF_1.1.BcgI.iibsp"]["kind"] == "reads" and by["GCF_1.1.BcgI.iibdb"]["kind"] == "contigs"
+    assert [r["file"].rsplit("/", 1)[-1] for r in broken.collect()] == ["GCF_3.1.BcgI.iibdb"]
+    counted = collections.count_records(spark, f"{tmp_path}/AlfI.genus.iibdb,{tmp_path}/GCF_1.1.BcgI.iibdb", distinct=True)
+    assert {(r["file"].rsplit("/", 1)[-1], r["n_records"], r["n_tags"]) for r in counted.collect()} == {("AlfI.genus.iibdb", 1, 1), ("GCF_1.1.BcgI.iibdb", 2, 2)}
+
+
+def _field(number, value):
+    """A protocol-buffer field: a whole number, or bytes of a text or message."""
+    def varint(n):
+        out = b""
+        while True:
+            out += bytes([(n & 127) | (128 if n > 127 else 0)])
+            n >>= 7
+            if not n:
+                return out
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    raw = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(raw)) + raw
+
+
+def test_onnx_scoring(spark):
+    """A model whose label is the place of the largest feature, written by hand."""
+    dims = lambda n: b"".join(_field(1, _field(1, d) if d else _field(2, "n")) for d in n)
+    tensor = lambda name, kind, shape: _field(1, name) + _field(2, _field(1, _field(1, kind) + _field(2, dims(shape))))
+    attribute = lambda name, n: _field(5, _field(1, name) + _field(3, n) + _field(20, 2))
+    node = _field(1, "float_input") + _field(2, "label") + _field(4, "ArgMax") + attribute("axis", 1) + attribute("keepdims", 0)
+    graph = _field(1, node) + _field(2, "g") + _field(11, tensor("float_input", 1, [0, 4])) + _field(12, tensor("label", 7, [0]))
+    model = _field(1, 8) + _field(7, graph) + _field(8, _field(1, "") + _field(2, 13))
+    df = spark.createDataFrame([("a", 1.0, 5.0, 2.0, 3.0), ("b", 0.0, -1.0, -2.0, 4.0)], "taxon STRING, f_coverage FLOAT, f_strength FLOAT, f_depth FLOAT, f_share FLOAT")
+    assert {r["taxon"]: r["prediction"] for r in features.predict_presence(df, model).collect()} == {"a": 1, "b": 3}
+    assert features.predict_presence(df.limit(0), model).count() == 0
+
+
+def test_single_tag_stats(spark):
+    site = "T" * 6 + "GGGAC" + "T" * 14
+    rows = [("s", site, "I" * 25), ("s", site, "!" * 25), ("s", "ACGT", "IIII"), ("s", None, None), ("t", "A", None)]
+    got = digest.single_tag_stats(spark.createDataFrame(rows, "sample STRING, seq STRING, qual STRING"), "sample", "BslFI", qual="qual", quality=ReadQuality())
+    assert {tuple(r) for r in got.collect()} == {("s", "BslFI", 4, 2, 1, "25.00%"), ("t", "BslFI", 1, 0, 0, "0.00%")}
+
+
+def test_selected_lineages(spark):
+    selected = spark.createDataFrame([("s", "g2"), ("s", "g1"), ("s", "g1"), ("t", "g9")], "sample STRING, gcf_id STRING")
+    genomes = spark.createDataFrame([("g1", ["a"]), ("g2", ["b"])], "gcf_id STRING, taxonomy ARRAY<STRING>")
+    assert [tuple(r) for r in profile.selected_lineages(selected, genomes).collect()] == [("s", "g1", ["a"]), ("s", "g2", ["b"])]
