@@ -55,7 +55,6 @@ def orphans_in_time(refs: DataFrame, listings: DataFrame, key: str, at: str, sta
     else. Null keys are left out. A reference without time can only be ``missing``. An empty ``listings`` makes every
     reference missing.
     """
-    rows = refs.distinct()
     lost = materialize(missing_keys(refs, listings, [key]), "missing-keys").withColumn("status", F.lit("missing"))
     points = refs.select(key, at).dropna().distinct()
     spans = alive_spans(listings, key, start, end)
@@ -64,7 +63,8 @@ def orphans_in_time(refs: DataFrame, listings: DataFrame, key: str, at: str, sta
     dead = points.join(spans, inside, "left_anti").join(known, key)
     dead = dead.select(key, at, F.when(F.col("first_start").isNull() | (F.col("first_start") > F.col(at)), F.lit("late")).otherwise(F.lit("deleted")).alias("status"))
     dead = materialize(dead, "dead-references")
-    return rows.join(sized_broadcast(lost), key).unionByName(rows.join(sized_broadcast(dead), [key, at]))
+    # Repeated rows are removed last, when only orphans are left to move.
+    return refs.join(sized_broadcast(lost), key).unionByName(refs.join(sized_broadcast(dead), [key, at])).distinct()
 
 
 def orphan_counts(orphans: DataFrame, table_col: str = "ref_table", month_col: str = "ref_month") -> DataFrame:
