@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import present
+
 WIDE = "decimal(38,0)"
 
 
@@ -40,7 +42,7 @@ def eager_join_aggregate(left: DataFrame, right: DataFrame, on: dict[str, tuple]
     right_measures = right_measures or {}
     a = key_state(left, {**{k: v[0] for k, v in on.items()}, **left_group}, left_measures, "n_l")
     b = key_state(right, {**{k: v[1] for k, v in on.items()}, **right_group}, right_measures, "n_r")
-    joined = a.dropna(subset=list(on)).join(b.dropna(subset=list(on)), list(on))
+    joined = present(a, *on).join(present(b, *on), list(on))
     n_l, n_r = F.col("n_l").cast(WIDE), F.col("n_r").cast(WIDE)
     aggs = [F.sum((n_l * n_r).cast(WIDE)).cast("bigint").alias("n_rows")]
     for names, other in ((left_measures, n_r), (right_measures, n_l)):

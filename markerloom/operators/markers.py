@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
+from ..session import present
 
 
 def latest_listing(listings: DataFrame, genome: str, order: Sequence[Column | str], value: Column | str) -> DataFrame:
@@ -23,7 +24,7 @@ def tag_occurrences(tags: DataFrame, genomes: DataFrame, levels: Sequence[str |
     Occurrences are counted per tag and genome before the genomes' lineages are joined and the levels fanned out, so a tag
     that occurs very often costs no more than one row per genome and level. Null tags and unlisted genomes are left out.
     """
-    counts = tags.select(*extra, F.col(tag).alias("tag"), "gcf_id").dropna(subset=["tag", "gcf_id"]).groupBy(*extra, "tag", "gcf_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = present(tags.select(*extra, F.col(tag).alias("tag"), "gcf_id"), "tag", "gcf_id").groupBy(*extra, "tag", "gcf_id").agg(F.count(F.lit(1)).alias("n"))
     paths = F.explode(F.array(*[F.struct(F.lit(tx.RANKS[tx.level_number(k) - 1]).alias("level"), tx.rank_path("taxonomy", k, clamp).alias("taxon")) for k in levels]))
     taxa = genomes.select("gcf_id", paths.alias("p")).select("gcf_id", "p.level", "p.taxon").where("taxon IS NOT NULL")
     return counts.join(taxa, "gcf_id").select(*extra, "level", "tag", "gcf_id", "taxon", "n")
@@ -55,5 +56,5 @@ def genome_coverage(markers: DataFrame, genomes: DataFrame, extra: Sequence[str]
 
 def sample_markers(tags: DataFrame, selected: DataFrame, genomes: DataFrame, level: str | int, drop_redundant: bool = True) -> DataFrame:
     """Markers of every sample's own selection of genomes (sample, gcf_id) in one pass: uniqueness within (sample, tag)."""
-    mine = tags.select("tag", "gcf_id").dropna().join(selected.select("sample", "gcf_id").dropna().distinct(), "gcf_id")
+    mine = present(tags.select("tag", "gcf_id")).join(present(selected.select("sample", "gcf_id")).distinct(), "gcf_id")
     return unique_markers(tag_occurrences(mine, genomes, [level], ["sample"], clamp=True), ["sample"], drop_redundant)

@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import materialize, sized_broadcast
+from ..session import materialize, present, sized_broadcast
 
 
 def missing_keys(refs: DataFrame, parents: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct non-null ``keys`` of ``refs`` without a row in ``parents`` (left anti join of key sets)."""
-    wanted = refs.select(*keys).dropna().distinct()
-    return wanted.join(parents.select(*keys).dropna().distinct(), list(keys), "left_anti")
+    wanted = present(refs.select(*keys)).distinct()
+    return wanted.join(present(parents.select(*keys)).distinct(), list(keys), "left_anti")
 
 
 def orphan_rows(refs: DataFrame, parents: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -56,7 +56,7 @@ def orphans_in_time(refs: DataFrame, listings: DataFrame, key: str, at: str, sta
     reference missing.
     """
     lost = materialize(missing_keys(refs, listings, [key]), "missing-keys").withColumn("status", F.lit("missing"))
-    points = refs.select(key, at).dropna().distinct()
+    points = present(refs.select(key, at)).distinct()
     spans = alive_spans(listings, key, start, end)
     inside = (points[key] == spans[key]) & (spans["span_from"] <= points[at]) & (spans["span_to"].isNull() | (spans["span_to"] > points[at]))
     known = listings.select(key, start).where(F.col(key).isNotNull()).groupBy(key).agg(F.min(start).alias("first_start"))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import present
+
 
 @dataclass(frozen=True)
 class Thresholds:
@@ -22,7 +24,7 @@ class Thresholds:
 
 def tag_depth(read_tags: DataFrame, by: Sequence[str] = ("sample",)) -> DataFrame:
     """Reads of each tag in each sample; null tags and samples are left out."""
-    return read_tags.select(*by, "tag").dropna().groupBy(*by, "tag").agg(F.count(F.lit(1)).alias("depth"))
+    return present(read_tags.select(*by, "tag")).groupBy(*by, "tag").agg(F.count(F.lit(1)).alias("depth"))
 
 
 def abundance(depth: DataFrame, markers: DataFrame, theory: DataFrame, thresholds: Thresholds = Thresholds(), by: Sequence[str] = ("sample",), db: Sequence[str] = ()) -> DataFrame:

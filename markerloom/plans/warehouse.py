@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
 from ..operators import markers, matrix, profile
-from ..session import materialize, table
+from ..session import materialize, present, table
 
 SAMPLES = ("s0", "s1", "s2", "s3")
 
@@ -76,7 +76,7 @@ def _listed(spark, d) -> DataFrame:
 def _db_tags(spark, d) -> DataFrame:
     """(db_name, tag, gcf_id) of the compact databases; repeated rows once."""
     records = table(spark, d, "compact_records").distinct().select("db_name", "gcf_index", F.col("hash").alias("tag"))
-    entries = table(spark, d, "compact_gcf_table").select("db_name", "gcf_index", "gcf_id").dropna().distinct()
+    entries = present(table(spark, d, "compact_gcf_table").select("db_name", "gcf_index", "gcf_id")).distinct()
     return records.join(entries, ["db_name", "gcf_index"]).select("db_name", "tag", "gcf_id")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +75,11 @@ def sized_broadcast(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
+def present(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows without a null in ``columns`` (all, if none are named), as conditions that reach the scan."""
+    return df.where(reduce(and_, [F.col(f"`{c}`").isNotNull() for c in columns or df.columns]))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows of too few files over all cores before costly work on each row; inputs of enough partitions are not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
