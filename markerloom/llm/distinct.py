@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize, present, sized_broadcast
+
 
 @dataclass(frozen=True)
 class SketchConfig:
@@ -168,8 +170,7 @@ def sketch(df: DataFrame, keys: Sequence[str], member: str, config: SketchConfig
     Rows with a null key or member are left out; repeated rows count in ``n_rows`` only. An empty input gives no row.
     """
     keys = list(keys)
-    rows = df.select(*[F.col(k).cast("string").alias(k) for k in keys], F.xxhash64(member).alias("member"), F.col(member).isNull().alias("gone"))
-    rows = rows.where("NOT gone").drop("gone").dropna(subset=keys)
+    rows = present(df, *keys, member).select(*[F.col(k).cast("string").alias(k) for k in keys], F.xxhash64(member).alias("member"))
     return merge_sketches(rows.mapInArrow(_sketch_task(keys, config), _schema(keys)), keys, config)
 
 
@@ -259,11 +260,9 @@ def repeated_cells(df: DataFrame, keys: Sequence[str], member: str, min_rows: in
     """
     keys = list(keys)
     counted = with_counts(sketch(df, keys, member, config), config)
-    from ..session import materialize, sized_broadcast
-
     near = counted.where((F.col("n_rows") >= min_rows) & (F.col("n_distinct") <= F.col("n_rows") * max_ratio * (1 + 5 * config.error))).select(*keys)
     near = sized_broadcast(materialize(near, "near-cells"))
-    rows = df.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col(member).alias("member")).dropna()
+    rows = present(df, *keys, member).select(*[F.col(k).cast("string").alias(k) for k in keys], F.col(member).alias("member"))
     per_member = rows.join(near, keys, "left_semi").groupBy(*keys, "member").agg(F.count(F.lit(1)).alias("c"))
     exact = per_member.groupBy(*keys).agg(F.sum("c").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"))
     return exact.where((F.col("n_rows") >= min_rows) & (F.col("n_distinct") <= F.col("n_rows") * max_ratio))

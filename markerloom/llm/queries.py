@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import present, table
 from . import distinct, mixing, overlap, packing, spam, topn
 
 
@@ -14,9 +14,9 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
     tasks = table(spark, d, "write_tasks")
     by_hash = tasks.select(F.lit("sample_hash").alias("kind"), F.col("sample").alias("set"), F.col("hash").alias("member")).where("member IS NOT NULL")
     by_id = tasks.where("id IS NOT NULL").select(F.lit("sample_id").alias("kind"), F.col("sample").alias("set"), F.xxhash64("id").alias("member"))
-    records = table(spark, d, "compact_records").select("db_name", "gcf_index", "hash").dropna().distinct()
-    entries = table(spark, d, "compact_gcf_table").select("db_name", "gcf_index", "gcf_id").dropna().distinct()
-    species = table(spark, d, "genome_records").select("gcf_id", F.try_element_at("taxonomy", F.lit(7)).alias("set")).dropna().distinct()
+    records = present(table(spark, d, "compact_records").select("db_name", "gcf_index", "hash")).distinct()
+    entries = present(table(spark, d, "compact_gcf_table").select("db_name", "gcf_index", "gcf_id")).distinct()
+    species = present(table(spark, d, "genome_records").select("gcf_id", F.try_element_at("taxonomy", F.lit(7)).alias("set"))).distinct()
     by_species = records.join(entries.join(species, "gcf_id"), ["db_name", "gcf_index"]).select(F.lit("species").alias("kind"), "set", F.col("hash").alias("member"))
     return by_hash.unionByName(by_id).unionByName(by_species)
 

@@ -13,8 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import materialize, sized_broadcast
+from ..session import materialize, present, sized_broadcast
 
 CODE_BITS = 62
 #: Groups beyond the broadcast bound are joined with this many copies of their cutoffs, so that no group meets a single task.
@@ -45,7 +46,9 @@ def encode(df: DataFrame, groups: Sequence[str], item: str, score: str) -> DataF
     position among the distinct scores takes the place of the score.
     """
     keys = [*groups, item, score]
-    best = df.select(*keys).dropna().groupBy(*groups, item).agg(F.max(F.col(score).cast("bigint")).alias(score))
+    if not isinstance(df.schema[score].dataType, T.IntegralType):
+        raise ValueError("scores must be whole numbers")
+    best = present(df.select(*keys)).groupBy(*groups, item).agg(F.max(F.col(score).cast("bigint")).alias(score))
     best = materialize(best, "best-scores")
     order = materialize(_dense_order(best, item).withColumnRenamed("pos", "item_pos"), "item-order")
     span = best.agg(F.min(score).alias("lo"), F.max(score).alias("hi")).first()
