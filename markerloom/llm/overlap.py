@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import materialize, sized_broadcast
 
 #: Registers per set, as a power of two. Sets well below 2**p members are told apart member by member, larger ones by register values.
-PRECISION = 24
+PRECISION = 26
 #: The search looks for this part of the share asked for, as a register that several members hit may hide a shared one.
 SLACK = 0.7
 
@@ -53,11 +53,11 @@ def set_sizes(histogram: DataFrame, p: int = PRECISION) -> DataFrame:
     return s.select("kind", "set", "occupied", F.when(empty > 0.08 * m, by_empty).otherwise(by_mean).alias("n"))
 
 
-def _log_likelihood(theta: np.ndarray, ka: np.ndarray, kb: np.ndarray, cnt: np.ndarray, m: float, top: int) -> float:
-    """Poisson log likelihood of register pairs; theta: log sizes of only a, only b, both."""
-    la, lb, lx = np.exp(theta) / m
+def _log_likelihood(theta: np.ndarray, ka: np.ndarray, kb: np.ndarray, cnt: np.ndarray, m: float, top: int) -> np.ndarray:
+    """Poisson log likelihoods of register pairs, one for each row of theta: log sizes of only a, only b, both."""
+    la, lb, lx = (np.exp(theta) / m).T[:, :, None]
 
-    def cdf(rate: float, k: np.ndarray) -> np.ndarray:
+    def cdf(rate: np.ndarray, k: np.ndarray) -> np.ndarray:
         return np.where(k < 0, 0.0, np.where(k >= top, 1.0, np.exp(-rate * np.exp2(-np.clip(k, 0, top).astype(float)))))
 
     lo, hi = np.minimum(ka, kb), np.maximum(ka, kb)
@@ -68,11 +68,11 @@ def _log_likelihood(theta: np.ndarray, ka: np.ndarray, kb: np.ndarray, cnt: np.n
     fa, fb, fx = cdf(la, ka), cdf(lb, kb), cdf(lx, ka)
     fx1 = cdf(lx, ka - 1)
     equal = (fx - fx1) * fa * fb + fx1 * (fa - cdf(la, ka - 1)) * (fb - cdf(lb, kb - 1))
-    return float(cnt @ np.log(np.maximum(np.where(ka == kb, equal, unequal), 1e-300)))
+    return np.log(np.maximum(np.where(ka == kb, equal, unequal), 1e-300)) @ cnt
 
 
 def joint_estimate(ka: np.ndarray, kb: np.ndarray, cnt: np.ndarray, p: int) -> tuple[float, float, float]:
-    """(only a, only b, both): maximum of the likelihood by damped Newton steps on the logarithms."""
+    """(only a, only b, both): maximum of the likelihood by damped Newton steps on the logarithms, derivatives from one batch of evaluations."""
     m, top = float(2**p), 65 - p
     cnt = cnt.astype(float)
     size = lambda k: m * np.log(m / max(m - cnt[k > 0].sum(), 1.0))
@@ -81,22 +81,28 @@ def joint_estimate(ka: np.ndarray, kb: np.ndarray, cnt: np.ndarray, p: int) -> t
     x0 = min(max(equal, 0.5), 0.999 * min(na, nb))
     theta = np.log([max(na - x0, 0.5), max(nb - x0, 0.5), x0])
     f = lambda t: _log_likelihood(t, ka, kb, cnt, m, top)
-    best, h = f(theta), 1e-3
+    h = 1e-3
     eye = np.eye(3) * h
+    corners = [(i, j) for i in range(3) for j in range(i + 1, 3)]
+    around = np.array([np.zeros(3), *eye, *-eye, *[a * eye[i] + b * eye[j] for i, j in corners for a, b in ((1, 1), (1, -1), (-1, 1), (-1, -1))]])
+    halves = 0.5 ** np.arange(12)[:, None]
     for _ in range(60):
-        g = np.array([(f(theta + e) - f(theta - e)) / (2 * h) for e in eye])
-        hess = np.array([[(f(theta + a + b) - f(theta + a - b) - f(theta - a + b) + f(theta - a - b)) / (4 * h * h) for b in eye] for a in eye])
-        w, v = np.linalg.eigh(hess)
-        step = v @ ((v.T @ g) / np.maximum(np.abs(w), 1e-6))
+        v = f(theta + around)
+        up, down = v[1:4], v[4:7]
+        g = (up - down) / (2 * h)
+        hess = np.diag((up - 2 * v[0] + down) / (h * h))
+        for (i, j), c in zip(corners, v[7:].reshape(3, 4), strict=True):
+            hess[i, j] = hess[j, i] = (c[0] - c[1] - c[2] + c[3]) / (4 * h * h)
+        w, q = np.linalg.eigh(hess)
+        step = q @ ((q.T @ g) / np.maximum(np.abs(w), 1e-6))
         step *= min(1.0, 1.5 / max(np.abs(step).max(), 1e-12))
-        for _ in range(30):
-            if (now := f(theta + step)) > best:
-                break
-            step /= 2
-        else:
+        tried = f(theta + halves * step)
+        k = int(tried.argmax())
+        gain = tried[k] - v[0]
+        if gain <= 0:
             break
-        theta, gain, best = theta + step, now - best, now
-        if gain < 1e-7 * (1 + abs(best) * 1e-6) or np.abs(step).max() < 1e-6:
+        theta = theta + halves[k] * step
+        if gain < 1e-7 or np.abs(halves[k] * step).max() < 1e-6:
             break
     a, b, x = np.exp(theta)
     return float(a), float(b), float(x)
@@ -119,7 +125,7 @@ def _estimate(p: int):
 
 def candidate_pairs(registers: DataFrame, sizes: DataFrame, min_share: float, min_size: float) -> DataFrame:
     """Pairs (kind, small, large) that may share ``min_share`` of the smaller set; ``registers`` and ``sizes`` must be materialized."""
-    by_register = W.partitionBy("kind", "idx")
+    by_register = W.partitionBy("kind", "idx", "rho")  # where two sets agree; values that differ share nothing
     shared = registers.withColumn("f", F.count(F.lit(1)).over(by_register)).where("f > 1").withColumn("rare", F.floor(F.log2("f")).cast("tinyint")).drop("f")
     shared = materialize(shared, "shared-registers")
     # How rare a register must be to belong to a set's prefix; all rarities of a set are a few dozen numbers.
