@@ -49,7 +49,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 _STOP = re.compile(r"(?<=[.!?])\s+")
 _SEPARATOR = re.compile(r"[,;|/•#]")
 
-FEATURES = ("sentences", "data", "links", "loose", "log_words", "log_links", "function_words", "distinct_words", "top_word", "distinct_pairs", "often_repeated", "digits", "separators", "hashes", "capitals", "per_line", "stops")
+FEATURES = ("sentences", "data", "links", "loose", "outside", "log_words", "log_links", "function_words", "distinct_words", "top_word", "distinct_pairs", "often_repeated", "digits", "separators", "hashes", "capitals", "per_line", "stops")
+OUTSIDE, WORDS = FEATURES.index("outside"), FEATURES.index("log_words")
 
 
 def features(text: str | None) -> list[float]:
@@ -93,7 +94,7 @@ def features(text: str | None) -> list[float]:
     n, seen = max(len(lower), 1), Counter(lower)
     joined = "\n".join(body)
     return [
-        sentence / total, data / total, link_words / total, loose / total, math.log1p(sentence + data + loose + link_words), math.log1p(links),
+        sentence / total, data / total, link_words / total, loose / total, (link_words + loose) / total, math.log1p(sentence + data + loose + link_words), math.log1p(links),
         sum(w in FUNCTION_WORDS for w in lower) / n, len(seen) / n, max(seen.values(), default=0) / n, len(set(zip(lower, lower[1:]))) / n,
         sum(c for w, c in seen.items() if c >= 4 and w not in FUNCTION_WORDS) / n, sum(map(str.isdigit, joined)) / max(len(joined), 1), len(_SEPARATOR.findall(joined)) / n,
         joined.count("#") / n, sum(w[0].isupper() for w in words) / n, n / max(lines, 1), sum(map(joined.count, ".!?")) / n,
@@ -102,7 +103,7 @@ def features(text: str | None) -> list[float]:
 
 def weak_label(x: np.ndarray) -> np.ndarray:
     """1 or 0 where the features leave no doubt, else -1."""
-    outside, words = x[:, 2] + x[:, 3], np.expm1(x[:, 4])
+    outside, words = x[:, OUTSIDE], np.expm1(x[:, WORDS])
     return np.where((outside >= SURELY) & (words >= LEAST_WORDS), 1, np.where((outside <= SURELY_NOT) | (words < LEAST_WORDS), 0, -1))
 
 
@@ -192,12 +193,13 @@ def message_features(docs: DataFrame) -> DataFrame:
 
 
 def training_sample(measured: DataFrame, bound: int = TRAINING_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """About ``bound`` labelled messages, drawn evenly by a hash of the id; all of them if they are fewer."""
-    labelled = measured.where("label >= 0")
-    n = labelled.count()
-    if n > bound:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * bound / n))
-    rows = labelled.select("doc_id", "x", "label").orderBy("doc_id").limit(2 * bound).collect()
+    """About ``bound`` labelled messages at most, half of either label as far as there are so many, drawn evenly by a hash of the id."""
+    sizes = {r["label"]: r["n"] for r in measured.where("label >= 0").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two numbers
+    keep = [F.when(F.col("label") == k, F.lit(int(1_000_000 * min(1.0, bound / 2 / n)))) for k, n in sizes.items()]
+    if not keep:
+        return np.zeros((0, len(FEATURES))), np.zeros(0, dtype=np.int64)
+    drawn = measured.where((F.col("label") >= 0) & (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < F.coalesce(*keep)))
+    rows = drawn.select("doc_id", "x", "label").orderBy("doc_id", "x").limit(2 * bound).collect()
     return np.array([r["x"] for r in rows], dtype=float).reshape(-1, len(FEATURES)), np.array([r["label"] for r in rows], dtype=np.int64)
 
 
@@ -205,7 +207,7 @@ def _score_task(forest: Forest):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array(batch.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), pa.array(forest.score(x) * (np.expm1(x[:, 4]) >= LEAST_WORDS))], names=["doc_id", "host", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), pa.array(forest.score(x) * (np.expm1(x[:, WORDS]) >= LEAST_WORDS))], names=["doc_id", "host", "score"])
 
     return run
 

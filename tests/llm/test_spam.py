@@ -72,7 +72,7 @@ def test_messages(spark):
 def test_training_sample_is_bounded(spark):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.array(*[F.lit(0.5)] * len(spam.FEATURES)).alias("x"), (F.col("id") % 3 - 1).cast("int").alias("label"))
     x, y = spam.training_sample(df, 600)
-    assert 450 < len(y) < 760 and set(y) == {0, 1}
+    assert 450 < len(y) < 760 and 0.35 < y.mean() < 0.65
 
 
 def test_held_out_messages(spark, sf):
