@@ -9,6 +9,8 @@ Which pairs are compared is decided by the sketches too, without looking at all
 come first, and if the smaller set shares ``min_share`` of its registers with another set, so much of that must fall
 among its rarer registers that it suffices to join those (``prefix``) with all registers of the other set. Registers that
 very many sets occupy thus take no part in the search unless a set has hardly any others; they all count in the estimate.
+
+Where every pair is wanted, whatever it shares, ``shared_counts`` counts exactly instead: a sketch can't tell a few shared members from none.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import materialize, sized_broadcast
+from ..session import materialize, present, sized_broadcast
 
 #: Registers per set, as a power of two. Sets well below 2**p members are told apart member by member, larger ones by register values.
 PRECISION = 26
@@ -179,3 +181,22 @@ def overlap_sizes(members: DataFrame, min_share: float, min_size: float = 1.0, p
     est = est.join(small.select("kind", F.col("set").alias("set_a"), F.col("n").alias("n_a")), ["kind", "set_a"]).join(small.select("kind", F.col("set").alias("set_b"), F.col("n").alias("n_b")), ["kind", "set_b"])
     est = est.withColumn("share", F.col("shared") / F.least("n_a", "n_b"))
     return est.where(F.col("share") >= min_share).select("kind", "set_a", "set_b", "n_a", "n_b", "only_a", "only_b", "shared", "share")
+
+
+def shared_counts(members: DataFrame) -> DataFrame:
+    """Every pair of sets of the same kind that shares at least one member, with exact numbers.
+
+    Input and result columns as of :func:`overlap_sizes`, the numbers as BIGINT. Sets of any size take part; null kinds, sets and
+    members are left out, repeated rows change nothing. A member of f sets costs f (f + 1) / 2 numbers, added up in each task before the shuffle.
+    """
+    once = present(members.select("kind", "set", "member")).distinct()
+    sets = once.groupBy("kind", "member").agg(F.sort_array(F.collect_list("set")).alias("sets"))
+    firsts = sets.select("kind", "sets", F.posexplode("sets").alias("at", "set_a"))
+    # A set with itself comes too: its number is the size of the set.
+    met = firsts.select("kind", "set_a", F.explode(F.slice("sets", F.col("at") + 1, F.size("sets"))).alias("set_b"))
+    counts = materialize(met.groupBy("kind", "set_a", "set_b").agg(F.count(F.lit(1)).alias("shared")), "shared-counts")
+    sizes = sized_broadcast(counts.where("set_a = set_b").select("kind", F.col("set_a").alias("set"), F.col("shared").alias("n")))
+    pairs = counts.where("set_a < set_b")
+    for side in ("a", "b"):
+        pairs = pairs.join(sizes.withColumnsRenamed({"set": f"set_{side}", "n": f"n_{side}"}), ["kind", f"set_{side}"])
+    return pairs.select("kind", "set_a", "set_b", "n_a", "n_b", (F.col("n_a") - F.col("shared")).alias("only_a"), (F.col("n_b") - F.col("shared")).alias("only_b"), "shared", (F.col("shared") / F.least("n_a", "n_b")).alias("share"))

@@ -27,8 +27,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_overlap_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs that share at least a tenth of the smaller set, with the three parts of their union."""
-    return overlap.overlap_sizes(_members(spark, d), min_share=0.1, min_size=39.5)
+    """Every pair that shares at least one member, with the exact sizes of the three parts of its union."""
+    return overlap.shared_counts(_members(spark, d))
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:

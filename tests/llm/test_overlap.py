@@ -81,3 +81,26 @@ def test_sizes(spark):
 
 def test_query(spark, sf):
     assert set(queries.p1_found(spark, sf).columns) == {"kind", "set_a", "set_b"}
+
+
+def exact(sets):
+    own = {k: set(v) for k, v in sets.items()}
+    return {(ka, a, b): (len(ma), len(mb), len(ma & mb)) for (ka, a), ma in own.items() for (kb, b), mb in own.items() if ka == kb and a < b and ma & mb}
+
+
+def test_shared_counts_equal_brute_force(spark, sets):
+    df = sets_frame(spark, sets)
+    nulls = spark.createDataFrame([("k", None, "c1"), ("k", "s00", None), (None, "s00", "c1")], df.schema)
+    got = overlap.shared_counts(df.union(df.limit(500)).union(nulls).withColumn("n", F.lit(1)).withColumn("sets", F.lit("clash"))).collect()
+    assert {(r["kind"], r["set_a"], r["set_b"]): (r["n_a"], r["n_b"], r["shared"]) for r in got} == exact(sets) and len(got) == len(exact(sets))
+    assert all(r["only_a"] == r["n_a"] - r["shared"] and r["only_b"] == r["n_b"] - r["shared"] and r["share"] == r["shared"] / min(r["n_a"], r["n_b"]) for r in got)
+    assert overlap.shared_counts(df.limit(0)).count() == 0
+
+
+def test_overlap_sizes_query_has_every_pair(spark, sf):
+    sets = {}
+    for r in queries._members(spark, sf).dropna().distinct().collect():
+        sets.setdefault((r["kind"], r["set"]), []).append(r["member"])
+    got = queries.p1_overlap_sizes(spark, sf).collect()
+    assert {(r["kind"], r["set_a"], r["set_b"]): (r["n_a"], r["n_b"], r["shared"]) for r in got} == exact(sets)
+    assert min(r["share"] for r in got) < 0.1 and min(min(r["n_a"], r["n_b"]) for r in got) < 40
