@@ -13,6 +13,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -164,13 +166,14 @@ def merge_sketches(sketches: DataFrame, keys: Sequence[str], config: SketchConfi
     return local.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merge_task(keys, config, True), _schema(keys))
 
 
-def sketch(df: DataFrame, keys: Sequence[str], member: str, config: SketchConfig = SketchConfig()) -> DataFrame:
+def sketch(df: DataFrame, keys: Sequence[str], member: str, config: SketchConfig = SketchConfig(), null_keys: bool = False) -> DataFrame:
     """Sketches (keys as strings, n_rows, registers) of the distinct ``member`` values of each key combination.
 
-    Rows with a null key or member are left out; repeated rows count in ``n_rows`` only. An empty input gives no row.
+    Rows with a null member are left out, and those with a null key unless ``null_keys`` keeps null as a key of its own, as sketches that
+    are to be rolled up to fewer keys need it; repeated rows count in ``n_rows`` only. An empty input gives no row.
     """
     keys = list(keys)
-    rows = present(df, *keys, member).select(*[F.col(k).cast("string").alias(k) for k in keys], F.xxhash64(member).alias("member"))
+    rows = present(df, *([] if null_keys else keys), member).select(*[F.col(k).cast("string").alias(k) for k in keys], F.xxhash64(member).alias("member"))
     return merge_sketches(rows.mapInArrow(_sketch_task(keys, config), _schema(keys)), keys, config)
 
 
@@ -195,11 +198,15 @@ def with_counts(sketches: DataFrame, config: SketchConfig = SketchConfig()) -> D
 
 
 def cube(sketches: DataFrame, keys: Sequence[str], config: SketchConfig = SketchConfig()) -> DataFrame:
-    """Sketches of every non-empty combination of ``keys``; a key that plays no part is null there."""
+    """Sketches of every non-empty combination of ``keys``; a key that plays no part is null there.
+
+    A null key leaves a sketch out of the combinations that have this key, not out of the others: give sketches made with ``null_keys``.
+    """
     keys = list(keys)
     sets = [[k for i, k in enumerate(keys) if bits >> i & 1] for bits in range(1, 2 ** len(keys))]
-    # Spelled as values, nulls could not be told from keys that play no part; sketches have no null keys.
-    many = sketches.select(F.explode(F.array(*[F.struct(*[(F.col(k) if k in s else F.lit(None).cast("string")).alias(k) for k in keys]) for s in sets])).alias("cell"), "n_rows", "registers")
+    # Nulls of keys that play a part are dropped, so a null in the result always stands for a key that plays none.
+    cells = [F.when(reduce(and_, [F.col(f"`{k}`").isNotNull() for k in s]), F.struct(*[(F.col(f"`{k}`") if k in s else F.lit(None).cast("string")).alias(k) for k in keys])) for s in sets]
+    many = sketches.select(F.explode(F.array(*cells)).alias("cell"), "n_rows", "registers").where("cell IS NOT NULL")
     return merge_sketches(many.select("cell.*", "n_rows", "registers"), keys, config)
 
 

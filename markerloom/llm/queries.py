@@ -59,18 +59,21 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _tag_cells(spark: SparkSession, d: str) -> DataFrame:
     tags = table(spark, d, "write_tasks").select(_day("extracted_at"), "sample", "enzyme", "hash")
-    return distinct.sketch(tags, ["cell_day", "sample", "enzyme"], "hash")
+    return distinct.sketch(tags, ["cell_day", "sample", "enzyme"], "hash", null_keys=True)
 
 
 def p6_distinct_tags(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct tags for each day, sample, enzyme and combination of these, all rolled up from the finest sketches."""
+    """Distinct tags for each day, sample, enzyme and combination of these, all rolled up from the finest sketches.
+
+    A row with a null key counts in every cell in which that key plays no part.
+    """
     return distinct.with_counts(distinct.cube(_tag_cells(spark, d), ["cell_day", "sample", "enzyme"])).drop("registers")
 
 
 def p6_distinct_genomes(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct genomes for each day, database and both."""
+    """Distinct genomes for each day, database and both; null keys as of :func:`p6_distinct_tags`."""
     rows = table(spark, d, "gcf_theory").select(_day("built_at"), "db_name", "gcf_id")
-    return distinct.with_counts(distinct.cube(distinct.sketch(rows, ["cell_day", "db_name"], "gcf_id"), ["cell_day", "db_name"])).drop("registers")
+    return distinct.with_counts(distinct.cube(distinct.sketch(rows, ["cell_day", "db_name"], "gcf_id", null_keys=True), ["cell_day", "db_name"])).drop("registers")
 
 
 def p6_day_overlap(spark: SparkSession, d: str) -> DataFrame:

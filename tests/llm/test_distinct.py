@@ -66,3 +66,12 @@ def test_repeated_cells(spark):
     df = spark.createDataFrame(rows, "cell STRING, x BIGINT")
     got = {r["cell"]: (r["n_rows"], r["n_distinct"]) for r in distinct.repeated_cells(df, ["cell"], "x", 20, 1 / 3).collect()}
     assert got == {"r": (30, 9), "edge": (30, 10)}
+
+
+def test_cube_counts_null_keys_where_they_play_no_part(spark):
+    rows = [("d", "s", i) for i in range(50)] + [("d", None, i) for i in range(40, 400)] + [(None, "s", i) for i in range(30)] + [(None, None, 1), ("d", "s", None)]
+    df = spark.createDataFrame(rows, "day STRING, sample STRING, x BIGINT").repartition(3)
+    got = distinct.cube(distinct.sketch(df, ["day", "sample"], "x", null_keys=True), ["day", "sample"]).collect()
+    assert sorted((r["day"] or "", r["sample"] or "", r["n_rows"]) for r in got) == [("", "s", 80), ("d", "", 410), ("d", "s", 50)]
+    whole = {r["day"]: bytes(r["registers"]) for r in distinct.sketch(df, ["day"], "x").collect()}
+    assert {r["day"]: bytes(r["registers"]) for r in got if r["sample"] is None} == whole

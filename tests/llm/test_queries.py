@@ -25,3 +25,18 @@ def test_distinct_tags_against_exact_counts(spark, sf):
     got = {r["sample"]: r["n_distinct"] for r in queries.p6_distinct_tags(spark, sf).where("cell_day IS NULL AND enzyme IS NULL").collect()}
     assert set(got) == set(exact)
     assert all(abs(got[s] - n) < 5 * 0.063 * n for s, n in exact.items())
+
+
+@pytest.mark.parametrize(("name", "columns", "member", "source"), [
+    ("p6_distinct_tags", {"cell_day": "strftime(extracted_at, '%Y-%m-%d')", "sample": "sample", "enzyme": "enzyme"}, "hash", "write_tasks"),
+    ("p6_distinct_genomes", {"cell_day": "strftime(built_at, '%Y-%m-%d')", "db_name": "db_name"}, "gcf_id", "gcf_theory"),
+])
+def test_cells_have_all_rows_that_have_their_keys(spark, sf, name, columns, member, source):
+    con, keys = verify.views(sf), list(columns)
+    exact = {}
+    for bits in range(1, 2 ** len(keys)):
+        own = [k for i, k in enumerate(keys) if bits >> i & 1]
+        select = ", ".join(columns[k] if k in own else "NULL" for k in keys)
+        there = " AND ".join(f"{c} IS NOT NULL" for c in [member, *[columns[k] for k in own]])
+        exact |= {tuple(r[:-1]): r[-1] for r in con.execute(f"SELECT {select}, count(*) FROM {source} WHERE {there} GROUP BY ALL").fetchall()}
+    assert {tuple(r[k] for k in keys): r["n_rows"] for r in queries.QUERIES[name](spark, sf).collect()} == exact
