@@ -10,6 +10,9 @@ come first, and if the smaller set shares ``min_share`` of its registers with an
 among its rarer registers that it suffices to join those (``prefix``) with all registers of the other set. Registers that
 very many sets occupy thus take no part in the search unless a set has hardly any others; they all count in the estimate.
 
+The members of a very large set hide registers that it shares with a small one. Pairs whose larger set is so large (``LOADED``) are
+therefore neither searched nor estimated by registers: their shared members are counted, over the members of these few sets only.
+
 Where every pair is wanted, whatever it shares, ``shared_counts`` counts exactly instead: a sketch can't tell a few shared members from none.
 """
 
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,6 +32,9 @@ from ..session import materialize, present, sized_broadcast
 PRECISION = 26
 #: The search looks for this part of the share asked for, as a register that several members hit may hide a shared one.
 SLACK = 0.7
+#: Sets that fill more than this part of the registers (by members for each register) are compared exactly. Below it the others of
+#: the large set hide at most about 1 in 60 of the shared members, which SLACK covers; far above it neither search nor likelihood can tell.
+LOADED = 0.05
 
 
 def sketch_sets(members: DataFrame, p: int = PRECISION) -> DataFrame:
@@ -143,23 +149,42 @@ def candidate_pairs(registers: DataFrame, sizes: DataFrame, min_share: float, mi
     known = shared.join(sized_broadcast(info), ["kind", "set"])
     few = known.where("rare <= cut").select("kind", "idx", "rho", F.col("set").alias("small"), F.col("n").alias("n_small"), (t * F.col("occupied") - F.col("left_out")).alias("need"))
     many = known.select("kind", "idx", "rho", F.col("set").alias("large"), F.col("n").alias("n_large"))
-    smaller = (F.col("n_small") < F.col("n_large")) | ((F.col("n_small") == F.col("n_large")) & (F.col("small") < F.col("large")))
-    met = few.join(many, ["kind", "idx", "rho"]).where(smaller)
+    met = few.join(many, ["kind", "idx", "rho"]).where(_smaller())
     return met.groupBy("kind", "small", "large").agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need")).where("c >= need").select("kind", "small", "large")
 
 
+def _smaller() -> Column:
+    return (F.col("n_small") < F.col("n_large")) | ((F.col("n_small") == F.col("n_large")) & (F.col("small") < F.col("large")))
+
+
+def _exact_parts(members: DataFrame, sizes: DataFrame, loaded: DataFrame) -> DataFrame:
+    """The parts of every pair whose larger set is ``loaded``, from counting the members they share; set_a is the smaller set."""
+    rows = present(members.select("kind", "set", "member")).join(sized_broadcast(sizes), ["kind", "set"]).distinct()
+    large = rows.join(sized_broadcast(loaded.select("kind", "set")), ["kind", "set"], "left_semi").select("kind", "member", F.col("set").alias("large"), F.col("n").alias("n_large"))
+    small = rows.select("kind", "member", F.col("set").alias("small"), F.col("n").alias("n_small"))
+    met = small.join(large, ["kind", "member"]).where(_smaller()).groupBy("kind", "small", "large").agg(F.first("n_small").alias("n_small"), F.first("n_large").alias("n_large"), F.count(F.lit(1)).cast("double").alias("shared"))
+    only = [F.greatest(F.col(n) - F.col("shared"), F.lit(0.0)) for n in ("n_small", "n_large")]
+    return met.select("kind", F.col("small").alias("set_a"), F.col("large").alias("set_b"), only[0].alias("only_a"), only[1].alias("only_b"), "shared")
+
+
 def overlap_sizes(members: DataFrame, min_share: float, min_size: float = 1.0, p: int = PRECISION) -> DataFrame:
     """Pairs of sets of the same kind that share at least ``min_share`` (> 0) of the smaller one, with the estimated parts.
 
     Input columns kind, set, member; result kind, set_a < set_b (byte order), n_a, n_b, only_a, only_b, shared, share.
-    Sets of fewer than ``min_size`` members are left out. An empty input, or sets that share nothing, give no row.
+    Sets of fewer than ``min_size`` members are left out. An empty input, or sets that share nothing, give no row. The sizes of
+    sets are estimates always, the shared members of pairs with a set of more than ``LOADED * 2**p`` members are exact.
     """
     if not 0 < min_share <= 1:
         raise ValueError("min_share must be above 0 and at most 1: all pairs would have to be compared otherwise")
     registers = materialize(sketch_sets(members, p), "registers")
     histogram = materialize(register_histogram(registers), "register-histogram")
     sizes = materialize(set_sizes(histogram, p), "set-sizes")
-    pairs = sized_broadcast(materialize(candidate_pairs(registers, sizes, min_share, min_size), "pairs"))
+    loaded = sizes.where(F.col("n") > LOADED * 2**p).select("kind", "set", "n")
+    any_loaded = not loaded.isEmpty()
+    pairs = candidate_pairs(registers, sizes, min_share, min_size)
+    if any_loaded:
+        pairs = pairs.join(loaded.select("kind", F.col("set").alias("large")), ["kind", "large"], "left_anti").select("kind", "small", "large")
+    pairs = sized_broadcast(materialize(pairs, "pairs"))
 
     of_small = registers.withColumnsRenamed({"set": "small", "rho": "ka"}).join(pairs, ["kind", "small"])
     large_sets = sized_broadcast(pairs.select("kind", F.col("large").alias("set")).distinct())
@@ -173,6 +198,8 @@ def overlap_sizes(members: DataFrame, min_share: float, min_size: float = 1.0, p
     cells = both.union(h_small).union(h_large).union(minus[0]).union(minus[1]).groupBy("kind", "small", "large", "ka", "kb").agg(F.sum("cnt").alias("cnt"))
     per_pair = cells.groupBy("kind", F.col("small").alias("set_a"), F.col("large").alias("set_b")).agg(F.collect_list(F.struct("ka", "kb", "cnt")).alias("cells"))
     est = per_pair.mapInPandas(_estimate(p), "kind STRING, set_a STRING, set_b STRING, only_a DOUBLE, only_b DOUBLE, shared DOUBLE")
+    if any_loaded:
+        est = est.unionByName(_exact_parts(members, sizes.where(F.col("n") >= min_size).select("kind", "set", "n"), loaded))
     swap = F.col("set_a") > F.col("set_b")
     est = est.select(
         "kind", F.least("set_a", "set_b").alias("set_a"), F.greatest("set_a", "set_b").alias("set_b"), F.when(swap, F.col("only_b")).otherwise(F.col("only_a")).alias("only_a"), F.when(swap, F.col("only_a")).otherwise(F.col("only_b")).alias("only_b"), "shared"
