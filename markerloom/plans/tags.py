@@ -76,6 +76,11 @@ def revcomp_canonical(spark, d):
     return _docs(spark, d).select("gcf_id", dna.revcomp(head).alias("other_strand"), dna.canonical(head).alias("canonical"))
 
 
+def revcomp_canonical_whole(spark, d):
+    """Both strands of whole sequences; ``revcomp_canonical`` takes their first 40 letters only."""
+    return _docs(spark, d).select("gcf_id", dna.revcomp("seq").alias("other_strand"), dna.canonical("seq").alias("canonical"))
+
+
 def tag_hash_fx(spark, d):
     tags = _cut(spark, d).select("tag").distinct()
     return tags.select("tag", dna.tag_hash("tag").alias("h")).select("tag", "h", dna.hash_hex("h").alias("hex"), dna.unsigned("h").cast("string").alias("unsigned"))
@@ -301,7 +306,7 @@ def unsigned_hash_render(spark, d):
 
 
 _NAMED = (
-    enzyme_catalog, digest_all16_counts, digest_first_tag, digest_positions, read_tag_ids, revcomp_canonical, tag_hash_fx, digest_stats, qc_n_fraction, qc_n_absolute, qc_quality_percent,
+    enzyme_catalog, digest_all16_counts, digest_first_tag, digest_positions, read_tag_ids, revcomp_canonical, revcomp_canonical_whole, tag_hash_fx, digest_stats, qc_n_fraction, qc_n_absolute, qc_quality_percent,
     marker_species, marker_kingdom, marker_all_levels, marker_keep_redundant, marker_genome_coverage, theory_taxon, theory_gcf, tag_depth, abundance_full, abundance_filtered, gcf_detected, find_genome,
     multi_enzyme_union, multi_enzyme_combine, quan_markers_per_sample, abundance_quantitative, merge_long, merge_pivot, merge_filtered, predict_long, predict_pivot, predict_matched, classify_features,
     inspect_counts, inspect_top_genomes, inspect_preview, stream_kind, gtdb_parse, gcf_id_normalise, taxon_levels, split_record_id, file_sizes, unsigned_hash_render,
@@ -377,6 +382,7 @@ SQL = {f"digest_{e.name.lower()}": _cutting(e.name) + " SELECT gcf_id, enzyme, t
     "digest_positions": _ONE + " SELECT gcf_id, enzyme, pos AS pos0, pos + 1 AS pos1, tag FROM D",
     "read_tag_ids": _cutting("AlfI") + " SELECT sample, gcf_id || '_tag' || row_number() OVER (PARTITION BY gcf_id ORDER BY pos) AS tag_id, enzyme, tag FROM D",
     "revcomp_canonical": f"WITH {_S} SELECT gcf_id, {_REV.format('substr(seq, 1, 40)')} AS other_strand, least(substr(seq, 1, 40), {_REV.format('substr(seq, 1, 40)')}) AS canonical FROM S",
+    "revcomp_canonical_whole": f"WITH {_S} SELECT gcf_id, {_REV.format('seq')} AS other_strand, least(seq, {_REV.format('seq')}) AS canonical FROM S",
     "tag_hash_fx": _HASH,
     "digest_stats": _ONE + """, B AS (SELECT sample, count(*) AS c FROM D GROUP BY 1) SELECT sample, 'BcgI' AS enzyme, n AS input_sequences, coalesce(c, 0) AS tag_count, printf('%.2f%%', coalesce(c, 0) * 100.0 / n) AS percent
       FROM (SELECT sample, count(*) AS n FROM S GROUP BY 1) LEFT JOIN B USING (sample)""",

@@ -32,3 +32,14 @@ def test_every_sql_belongs_to_a_query():
     known = entry.queries()
     assert set(entry.oracle_sql()) <= set(known)
     assert all(len(inspect.signature(f).parameters) == 2 for f in known.values())
+
+
+def test_strands_of_whole_sequences(spark, sf, con):
+    name = "revcomp_canonical_whole"
+    df = entry.queries()[name](spark, sf)
+    r = con.execute(entry.oracle_sql()[name])
+    columns = [x[0] for x in r.description]
+    got = df.collect()
+    assert verify.rows(df.columns, got) == verify.rows(columns, r.fetchall())
+    letters = con.execute("SELECT sum(length(regexp_replace(text, '[^A-Za-z]', '', 'g'))) FROM documents").fetchone()[0]
+    assert sum(len(r["other_strand"]) for r in got) == sum(len(r["canonical"]) for r in got) == letters
