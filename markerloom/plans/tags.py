@@ -272,15 +272,25 @@ def stream_kind(spark, d):
     return names.select("p_partkey", inspect.stream_kind("file", "first_id").alias("kind"), inspect.group_key("first_id").alias("grp"))
 
 
-def gtdb_parse(spark, d):
-    """Lineages of six to eight ranks made of the genome list's ranks."""
-    g = table(spark, d, "genome_records").where("gcf_id IS NOT NULL AND size(taxonomy) >= 6 AND NOT exists(taxonomy, x -> x IS NULL)").select("gcf_id", "taxonomy").distinct()
-    prefixes = F.array(*[F.lit(p + "__") for p in "dpcofgst"])
+def _lineages(g):
+    """Lineage text of the ranks, and its ranks: as it stands, cut to six, and strict."""
+    prefixes = F.slice(F.array(*[F.lit(p + "__") for p in "dpcofgst"]), 1, F.size("taxonomy"))
     text = F.concat_ws(";", F.zip_with("taxonomy", prefixes, lambda a, b: F.concat(b, a)))
     cut = F.substring_index(text, ";", 6)
     return g.select("gcf_id", text.alias("lineage"), F.concat_ws("|", tx.parse_lineage(text, "gcf_id")).alias("ranks"), F.concat_ws("|", tx.parse_lineage(cut, "gcf_id")).alias("filled"), F.coalesce(F.concat_ws("|", tx.parse_lineage(text, "gcf_id", strict=True)), F.lit("")).alias("strict_ranks"))
 
 
+def gtdb_parse(spark, d):
+    """Lineages of six to eight ranks made of the genome list's ranks."""
+    return _lineages(table(spark, d, "genome_records").where("gcf_id IS NOT NULL AND size(taxonomy) >= 6 AND NOT exists(taxonomy, x -> x IS NULL)").select("gcf_id", "taxonomy").distinct())
+
+
+def gtdb_parse_all(spark, d):
+    """The same of every lineage of at least one rank; a null rank is written as an empty one (``g__``)."""
+    g = table(spark, d, "genome_records").where("gcf_id IS NOT NULL AND size(taxonomy) >= 1").select("gcf_id", F.transform("taxonomy", lambda x: F.coalesce(x, F.lit(""))).alias("taxonomy"))
+    return _lineages(g.distinct())
+
+
 def gcf_id_normalise(spark, d):
     paths = table(spark, d, "genome_records").select("genome_path").where("genome_path IS NOT NULL").distinct()
     return paths.select("genome_path", tx.accession("genome_path").alias("gcf_id"))
@@ -309,7 +319,7 @@ _NAMED = (
     enzyme_catalog, digest_all16_counts, digest_first_tag, digest_positions, read_tag_ids, revcomp_canonical, revcomp_canonical_whole, tag_hash_fx, digest_stats, qc_n_fraction, qc_n_absolute, qc_quality_percent,
     marker_species, marker_kingdom, marker_all_levels, marker_keep_redundant, marker_genome_coverage, theory_taxon, theory_gcf, tag_depth, abundance_full, abundance_filtered, gcf_detected, find_genome,
     multi_enzyme_union, multi_enzyme_combine, quan_markers_per_sample, abundance_quantitative, merge_long, merge_pivot, merge_filtered, predict_long, predict_pivot, predict_matched, classify_features,
-    inspect_counts, inspect_top_genomes, inspect_preview, stream_kind, gtdb_parse, gcf_id_normalise, taxon_levels, split_record_id, file_sizes, unsigned_hash_render,
+    inspect_counts, inspect_top_genomes, inspect_preview, stream_kind, gtdb_parse, gtdb_parse_all, gcf_id_normalise, taxon_levels, split_record_id, file_sizes, unsigned_hash_render,
 )
 QUERIES = {f"digest_{e.name.lower()}": _digest_query(e.name) for e in ENZYMES} | {f.__name__: f for f in _NAMED}
 
