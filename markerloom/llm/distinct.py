@@ -59,9 +59,10 @@ def _lowest(cell: np.ndarray, member: np.ndarray, m: int, low: np.ndarray) -> No
     first[1:] = (cell[1:] != cell[:-1]) | (member[1:] != member[:-1])
     cell, member = cell[first], member[first]
     step = (np.arange(1, m + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-    for at in range(0, len(cell), 1024):
-        c = cell[at : at + 1024]
-        values = _mix(member[at : at + 1024, None] + step)
+    block = max(8, 2**17 // m)  # a megabyte of values, which stays in the processor's cache
+    for at in range(0, len(cell), block):
+        c = cell[at : at + block]
+        values = _mix(member[at : at + block, None] + step)
         starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
         rows = c[starts]
         low[rows] = np.minimum(low[rows], np.minimum.reduceat(values, starts, axis=0))

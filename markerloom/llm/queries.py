@@ -76,12 +76,16 @@ def p6_distinct_genomes(spark: SparkSession, d: str) -> DataFrame:
     return distinct.with_counts(distinct.cube(distinct.sketch(rows, ["cell_day", "db_name"], "gcf_id", null_keys=True), ["cell_day", "db_name"])).drop("registers")
 
 
+#: Neighbouring days share about a hundredth of their tags; days are few, so their sketches may be large. Standard error of a small Jaccard coefficient about 0.003.
+DAYS = distinct.SketchConfig(m=4096)
+
+
 def p6_day_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Each day's distinct tags against those of the day before: union, shared tags and Jaccard coefficient."""
     tags = table(spark, d, "write_tasks").select(_day("extracted_at"), "hash")
-    days = distinct.sketch(tags, ["cell_day"], "hash")
+    days = distinct.sketch(tags, ["cell_day"], "hash", DAYS)
     before = days.select(F.date_add(F.col("cell_day").cast("date"), 1).cast("string").alias("cell_day"), F.col("registers").alias("registers_b"))
-    return distinct.joint_counts(days.select("cell_day", F.col("registers").alias("registers_a")).join(before, "cell_day"))
+    return distinct.joint_counts(days.select("cell_day", F.col("registers").alias("registers_a")).join(before, "cell_day"), DAYS)
 
 
 def _capacity(spark: SparkSession, d: str) -> int:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import verify
 from markerloom.llm import queries, sql
@@ -40,3 +41,17 @@ def test_cells_have_all_rows_that_have_their_keys(spark, sf, name, columns, memb
         there = " AND ".join(f"{c} IS NOT NULL" for c in [member, *[columns[k] for k in own]])
         exact |= {tuple(r[:-1]): r[-1] for r in con.execute(f"SELECT {select}, count(*) FROM {source} WHERE {there} GROUP BY ALL").fetchall()}
     assert {tuple(r[k] for k in keys): r["n_rows"] for r in queries.QUERIES[name](spark, sf).collect()} == exact
+
+
+def test_day_overlap_tells_small_overlaps_from_none(spark, tmp_path):
+    """At the query's own setting: 2,000 tags a day, 40 of them (a Jaccard coefficient of 0.01) those of the day before, none from the 16th day on."""
+    rows = spark.range(30 * 2000).select((F.col("id") / 2000).cast("int").alias("day"), (F.col("id") % 2000).alias("i"))
+    step = F.when(F.col("day") < 15, 1960).otherwise(2000)
+    rows.select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("day")).cast("timestamp").alias("extracted_at"), (F.col("day") * step + F.col("i")).cast("bigint").alias("hash")).write.parquet(f"{tmp_path}/write_tasks.parquet")
+    got = sorted(queries.p6_day_overlap(spark, str(tmp_path)).collect(), key=lambda r: r["cell_day"])
+    assert len(got) == 29
+    shared, none = got[:14], got[15:]
+    for r, j in [(r, 40 / 3960) for r in shared] + [(r, 0.0) for r in none]:
+        assert abs(r["jaccard"] - j) < 4 * r["jaccard_error"] and r["jaccard_error"] < 0.005
+    mean = lambda rs: sum(r["n_shared"] for r in rs) / len(rs)
+    assert 28 < mean(shared) < 52 and mean(none) < 14
