@@ -26,7 +26,7 @@ TRAINING_ROWS = 20_000
 TREES, DEPTH, LEAST_LEAF, TRIED_FEATURES, BINS = 25, 6, 5, 6, 32
 #: Weight of the host's rate in a message's log odds, and the messages' worth of the overall rate that a host starts with.
 HOST_WEIGHT, HOST_PRIOR = 0.3, 5.0
-#: Weak labels: share of the own words that stand outside sentences and data; fewer words than this are never a case.
+#: Weak labels: share of the own words that stand outside sentences and data; fewer words than this are never labelled a case. Scores have no such bound.
 SURELY, SURELY_NOT, LEAST_WORDS = 0.6, 0.4, 12
 
 # Frequent function words of the four languages.
@@ -50,7 +50,7 @@ _STOP = re.compile(r"(?<=[.!?])\s+")
 _SEPARATOR = re.compile(r"[,;|/•#]")
 
 FEATURES = ("sentences", "data", "links", "loose", "outside", "log_words", "log_links", "function_words", "distinct_words", "top_word", "distinct_pairs", "often_repeated", "digits", "separators", "hashes", "capitals", "per_line", "stops")
-OUTSIDE, WORDS = FEATURES.index("outside"), FEATURES.index("log_words")
+OUTSIDE, WORDS, IN_LINKS = FEATURES.index("outside"), FEATURES.index("log_words"), FEATURES.index("links")
 
 
 def features(text: str | None) -> list[float]:
@@ -207,7 +207,10 @@ def _score_task(forest: Forest):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array(batch.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), pa.array(forest.score(x) * (np.expm1(x[:, WORDS]) >= LEAST_WORDS))], names=["doc_id", "host", "score"])
+            score = forest.score(x) * (x[:, WORDS] > 0)
+            # The trees learn from greetings and the like that short messages are none; a short list of links is one by its links alone.
+            by_links = np.where((np.expm1(x[:, WORDS]) < LEAST_WORDS) & (x[:, IN_LINKS] >= SURELY), x[:, IN_LINKS], 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), pa.array(np.maximum(score, by_links))], names=["doc_id", "host", "score"])
 
     return run
 
@@ -215,8 +218,8 @@ def _score_task(forest: Forest):
 def score_messages(docs: DataFrame, bound: int = TRAINING_ROWS) -> DataFrame:
     """doc_id, host, score (of the trees), host_rate, smoothed (the final score) of every message, once per input row.
 
-    A message of fewer than ``LEAST_WORDS`` own words, or null or empty, has score 0 and smoothed 0. Messages without
-    sender are not smoothed. ``host_rate`` is the mean score of the host's other messages and of ``HOST_PRIOR`` average ones.
+    A message without own words, or null or empty, has score 0 and smoothed 0; short ones are scored as all others, their
+    length being one of the features, and at least by their share of links where this is ``SURELY`` or more. Messages without sender are not smoothed. ``host_rate`` is the mean score of the host's other messages and of ``HOST_PRIOR`` average ones.
     Only doc_id, from_addr and text are read.
     """
     measured = materialize(message_features(docs), "message-features")

@@ -84,3 +84,14 @@ def test_held_out_messages(spark, sf):
     f = spam.train(x[half & (y >= 0)], y[half & (y >= 0)])
     rest = ~half & (y >= 0)
     assert ((f.score(x[rest]) > 0.5) == y[rest]).mean() > 0.98
+
+
+def test_short_link_lists_come_out(spark):
+    """5 to 11 bare links are as many own words, fewer than the weak labels ask for; short words of other kinds stay."""
+    kinds = [STUFFED, LINKS, TAGS, PROSE * 5, PROSE * 2, LOG, TABLE]
+    rows = [(i * 10 + k, HEAD + "\n" + body + f" {i}") for i in range(40) for k, body in enumerate(kinds)] + [(1000 + i, HEAD + "\n" + ("ok", "Thanks a lot", "Best,\nA B")[i % 3]) for i in range(60)]
+    short = {2000 + n: "\n".join(f"http://www.shop{i}.test/lamps?ref={i}" for i in range(n)) for n in range(5, 12)}
+    rows += [(k, HEAD + "\n" + v) for k, v in short.items()]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").withColumn("from_addr", F.lit(None).cast("string"))
+    got = {r["doc_id"] for r in spam.spam_messages(df).collect()}
+    assert got == set(short) | {i * 10 + k for i in range(40) for k in range(3)}
