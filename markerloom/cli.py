@@ -203,13 +203,18 @@ def predict(spark: SparkSession, a) -> None:
     sample_files.write_lines(text, f"{a.output}/{a.prefix}.func.xls", "\t".join(["#Function", *samples]))
 
 
+def _show_all(df: DataFrame, order: str) -> None:
+    df = materialize(df, "shown")
+    df.orderBy(order).show(df.count(), truncate=False)
+
+
 def inspect_files(spark: SparkSession, a) -> None:
     rows, broken = collections.describe_files(spark, ",".join(a.files))
     if a.full or a.distinct:
         counts = collections.count_records(spark, ",".join(r["file"] for r in rows.select("file").toLocalIterator()), a.distinct)
         rows = rows.join(counts, "file", "left")
-    rows.orderBy("file").show(10_000, truncate=False)
-    broken.orderBy("file").show(10_000, truncate=False)
+    _show_all(rows, "file")
+    _show_all(broken, "file")
 
 
 def run_pipeline(spark: SparkSession, a) -> None:

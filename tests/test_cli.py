@@ -1,3 +1,4 @@
+import argparse
 import gzip
 import random
 
@@ -97,3 +98,11 @@ def test_single_tag_reads(spark, tmp_path):
     with files.open_input(str(tmp_path / "s.BslFI.iibsp")) as f:
         assert [i for _, i in tagstream.parse(f)] == ["one full header"]
     assert lines(tmp_path / "s.BslFI.stat.tsv")[1] == "s\tBslFI\t2\t1\t1\t50.00%"
+
+
+def test_inspect_prints_every_row(spark, capsys, monkeypatch):
+    rows = spark.range(10_050).selectExpr("concat('f', id) AS file")
+    monkeypatch.setattr(cli.collections, "describe_files", lambda *_: (rows, rows.selectExpr("file", "'bad' AS error")))
+    cli.inspect_files(spark, argparse.Namespace(files=["x"], full=False, distinct=False))
+    out = capsys.readouterr().out
+    assert out.count("|f") == 2 * (10_050 + 1) and "only showing" not in out
