@@ -90,7 +90,22 @@ f AS (
   WHERE db_name IS NOT NULL AND gcf_index IS NOT NULL AND NOT EXISTS (SELECT 1 FROM compact_gcf_table e WHERE e.db_name = r.db_name AND e.gcf_index = r.gcf_index))
 """
 
+# Fields by a regular expression: quoted as a whole, or without any quote.
+_P3 = r"""
+WITH t AS (SELECT *, trim(regexp_replace(trim(line, ' '), '\r\z', ''), ' ') AS x FROM raw_genome_lines),
+f AS (
+  SELECT *, regexp_full_match(x, '(?s)( *"([^"]|"")*" *|[^"\t]*)(\t( *"([^"]|"")*" *|[^"\t]*))*') AS quoted, regexp_extract_all(x || chr(9), '(?s)( *"(?:[^"]|"")*" *|[^"\t]*)\t', 1) AS raw
+  FROM t WHERE regexp_matches(x, '[^ \t]') AND NOT starts_with(x, '#')),
+v AS (SELECT *, [trim(CASE WHEN starts_with(trim(y, ' '), '"') THEN replace(substr(trim(y, ' '), 2, length(trim(y, ' ')) - 2), '""', '"') ELSE y END, ' ') FOR y IN raw] AS p FROM f),
+r AS (
+  SELECT *, CASE WHEN NOT quoted THEN 'quoting' WHEN len(p) NOT IN (9, 10) THEN 'column_count'
+    WHEN NOT regexp_full_match(p[1], 'GC[FA]_[0-9]{9}\.[0-9]+') OR list_bool_or([y = '' OR regexp_matches(y, '[\x{00}-\x{08}\x{0A}-\x{1F}\x{7F}-\x{9F}\x{FFFD}]') FOR y IN p[2:9]])
+      OR (len(p) = 10 AND p[10] <> '' AND NOT regexp_full_match(p[10], '(?s).*\.(fa|fna|fasta)(\.gz)?')) THEN 'invalid_value' END AS reason FROM v)
+"""
+
 SQL = {
+    "p3_found": _P3 + "SELECT line_id, reason FROM r WHERE reason IS NOT NULL",
+    "p3_valid": _P3 + "SELECT line_id, list_file, received_at, p[1] AS gcf_id, array_to_string(p[2:9], '|') AS taxonomy, nullif(p[10], '') AS genome_path FROM r WHERE reason IS NULL",
     "p2_found": _P2 + "SELECT 'gcf_theory' AS ref_table, taxon FROM p WHERE sa >= 0.05 UNION ALL SELECT 'genome_records', taxon FROM p WHERE sb >= 0.05",
     "p2_taxa": _P2 + """SELECT taxon, n_theory, n_records, (n_theory * m)::BIGINT AS n_join, tags_sum, tags_cnt, tags_mean, (tags_sum * m)::BIGINT AS tags_join_sum,
       round(sa, 9) AS share_theory, round(sb, 9) AS share_records, sa >= 0.05 AS crowded_theory, sb >= 0.05 AS crowded_records FROM p""",

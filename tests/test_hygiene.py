@@ -79,17 +79,19 @@ def test_reject_cases(spark):
         good, good + "\tx/a.fna.gz", good + "\t", f" {good}\tp.fa \r", None, "", " \t ", "# x", good.replace("r3", '"r\t3"'), good.replace("r3", '"a ""b"" c"'), good.replace("r3", 'a"b'),
         good.replace("r3", '"r3'), good.replace("r4", '"a"b'), good + '\t"a.fa', good, good.replace("r1", ""), good.replace("r1", "x\x07"), good.replace("r1", "x\x00"), good.replace("r1", "�"), good.replace("GCF", "GCX"),
         good + "\ta.txt", good + "\ta.fa\tb", "GCF_000000001.1\ta", good.replace("r3", "a\nb"), good.replace("r3", '"  "'), q, q * 2, q * 3, good.replace("r0", '"r0" ') + '\t "x.fasta"', good + "\t" + "y" * 70_000 + ".fa", good.replace("r3", 'a"') + '\tx"\t"',
+        good + "\ta.fa\t", good + "\t\t", good + "\t\t\t", good + "\ta.fa\t\t", "\t".join(OK[:8]) + "\t\t\t", "\t".join(OK[:8]) + "\t\t", "\t".join(OK[:8]) + "\t", good + '\t""\t""', good + '\t"a.fa"\t',
     ]
     got = parsed(spark, lines)
     for i, line in enumerate(lines):
         want = expected(line)
         assert (got[i]["reason"] or "ok") == want if want else i not in got, (i, line)
+    assert all(got[i]["reason"] == "column_count" for i in (31, 32, 33, 34, 35))
     assert got[1]["genome_path"] == "x/a.fna.gz" and got[2]["genome_path"] is None and got[8]["taxonomy"][3] == "r\t3" and got[9]["taxonomy"][3] == 'a "b" c'
     assert got[29]["genome_path"].startswith("yyy") and len(got[29]["genome_path"]) == 70_003
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.text(alphabet='a"\t \r#', max_size=30).map(lambda s: "\t".join(OK[:8]) + s), min_size=1, max_size=40))
+@settings(max_examples=200, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet='a"\t \r#', max_size=30).map(lambda s: "\t".join(OK[:8]) + s) | st.text(alphabet='a"\t ', max_size=8).map(lambda s: "\t".join(OK) + s), min_size=1, max_size=40))
 def test_random_quoting(spark, lines):
     got = parsed(spark, lines)
     for i, line in enumerate(lines):
