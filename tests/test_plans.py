@@ -47,5 +47,12 @@ def test_joins_meet_compact_states(spark, sf):
     assert re.search(r"Join.*", tree) and tree.count("HashAggregate") >= 5
 
 
+@pytest.mark.parametrize("name", ["marker_all_levels", "marker_tpch", "database_markers"])
+def test_uniqueness_gathers_no_tag(spark, sf, name):
+    """No window over a tag's occurrences; its taxa are reduced in every task before the shuffle."""
+    text = plan(CORE[name](spark, sf))
+    assert "Window" not in text and "partial_min(xxhash64(taxon" in text
+
+
 def test_entry_names():
     assert set(CORE) <= set(entry.queries())
