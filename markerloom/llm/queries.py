@@ -14,7 +14,7 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
     tasks = table(spark, d, "write_tasks")
     by_hash = tasks.select(F.lit("sample_hash").alias("kind"), F.col("sample").alias("set"), F.col("hash").alias("member")).where("member IS NOT NULL")
     by_id = tasks.where("id IS NOT NULL").select(F.lit("sample_id").alias("kind"), F.col("sample").alias("set"), F.xxhash64("id").alias("member"))
-    records = present(table(spark, d, "compact_records").select("db_name", "gcf_index", "hash")).distinct()
+    records = present(table(spark, d, "compact_records").select("db_name", "gcf_index", "hash"))
     entries = present(table(spark, d, "compact_gcf_table").select("db_name", "gcf_index", "gcf_id")).distinct()
     species = present(table(spark, d, "genome_records").select("gcf_id", F.try_element_at("taxonomy", F.lit(7)).alias("set"))).distinct()
     by_species = records.join(entries.join(species, "gcf_id"), ["db_name", "gcf_index"]).select(F.lit("species").alias("kind"), "set", F.col("hash").alias("member"))
@@ -22,10 +22,23 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = overlap.overlap_sizes(_members(spark, d), min_share=0.3, min_size=39.5)
+    pairs = overlap.overlap_sizes(_members(spark, d), min_share=0.3, min_size=40)
     return pairs.select("kind", "set_a", "set_b")
 
 
+def p1_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs that share at least a tenth of the smaller set, with the estimated sizes of the three parts of their union and the standard error."""
+    return overlap.overlap_sizes(_members(spark, d), min_share=0.1, min_size=40)
+
+
+def p1_estimates_check(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of problem 1 with their exact number of shared members, and whether the estimate lies within five standard errors (and one member) of it."""
+    members = _members(spark, d)
+    est = overlap.overlap_sizes(members, min_share=0.3, min_size=40).select("kind", "set_a", "set_b", F.col("shared").alias("estimate"), "shared_error")
+    exact = overlap.shared_counts(members).select("kind", "set_a", "set_b", "shared")
+    return est.join(exact, ["kind", "set_a", "set_b"]).select("kind", "set_a", "set_b", "shared", (F.abs(F.col("estimate") - F.col("shared")) <= 5 * F.col("shared_error") + 1).alias("within"))
+
+
 def p1_overlap_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Every pair that shares at least one member, with the exact sizes of the three parts of its union."""
     return overlap.shared_counts(_members(spark, d))
@@ -127,4 +140,4 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam.score_messages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_overlap_sizes, p4_found, p4_top_scores, p6_found, p6_distinct_tags, p6_distinct_genomes, p6_day_overlap, p7_found, p7_containers, p7_fill, p8_found, p8_mix, p8_shares, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_overlap_sizes, p1_estimates, p1_estimates_check, p4_found, p4_top_scores, p6_found, p6_distinct_tags, p6_distinct_genomes, p6_day_overlap, p7_found, p7_containers, p7_fill, p8_found, p8_mix, p8_shares, p9_found, p9_scores)}

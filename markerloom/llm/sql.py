@@ -1,15 +1,19 @@
 """SQL for the queries of this subpackage that SQL can express exactly. Sketch estimates and token counts have none and are tested against brute force."""
 
-P1_FOUND = """
+_P1 = """
 WITH m AS (
   SELECT DISTINCT 'sample_hash' AS kind, sample AS s, hash::VARCHAR AS x FROM write_tasks WHERE sample IS NOT NULL AND hash IS NOT NULL
   UNION ALL SELECT DISTINCT 'sample_id', sample, id FROM write_tasks WHERE sample IS NOT NULL AND id IS NOT NULL
   UNION ALL SELECT DISTINCT 'species', g.taxonomy[7], r.hash::VARCHAR FROM compact_records r JOIN compact_gcf_table e ON r.db_name = e.db_name AND r.gcf_index = e.gcf_index
     JOIN genome_records g ON g.gcf_id = e.gcf_id WHERE r.hash IS NOT NULL AND len(g.taxonomy) >= 7 AND g.taxonomy[7] IS NOT NULL),
-n AS (SELECT kind, s, count(*) AS n FROM m GROUP BY ALL HAVING count(*) >= 40),
-p AS (SELECT a.kind, a.s AS set_a, b.s AS set_b, count(*) AS c FROM m a JOIN m b ON a.kind = b.kind AND a.x = b.x AND a.s < b.s GROUP BY ALL)
-SELECT p.kind, set_a, set_b FROM p JOIN n na ON na.kind = p.kind AND na.s = set_a JOIN n nb ON nb.kind = p.kind AND nb.s = set_b WHERE c >= 0.3 * least(na.n, nb.n)
+n AS (SELECT kind, s, count(*) AS n FROM m GROUP BY ALL),
+p AS (SELECT a.kind, a.s AS set_a, b.s AS set_b, count(*) AS c FROM m a JOIN m b ON a.kind = b.kind AND a.x = b.x AND a.s < b.s GROUP BY ALL),
+q AS (SELECT p.kind, set_a, set_b, na.n AS n_a, nb.n AS n_b, c FROM p JOIN n na ON na.kind = p.kind AND na.s = set_a JOIN n nb ON nb.kind = p.kind AND nb.s = set_b),
+f AS (SELECT * FROM q WHERE least(n_a, n_b) >= 40 AND c >= 0.3 * least(n_a, n_b))
 """
+P1_FOUND = _P1 + "SELECT kind, set_a, set_b FROM f"
+P1_ESTIMATES_CHECK = _P1 + "SELECT kind, set_a, set_b, c AS shared, true AS within FROM f"
+P1_OVERLAP_SIZES = _P1 + "SELECT kind, set_a, set_b, n_a, n_b, n_a - c AS only_a, n_b - c AS only_b, c AS shared, c::DOUBLE / least(n_a, n_b) AS share FROM q"
 
 _SCORED = """
 WITH r AS (
@@ -29,4 +33,4 @@ WITH r AS (
 SELECT kind, cell_day, grp FROM r WHERE cell_day IS NOT NULL AND grp IS NOT NULL AND x IS NOT NULL GROUP BY ALL HAVING count(*) >= 20 AND count(DISTINCT x) * 3 <= count(*)
 """
 
-SQL = {"p1_found": P1_FOUND, "p4_found": P4_FOUND, "p4_top_scores": P4_TOP_SCORES, "p6_found": P6_FOUND}
+SQL = {"p1_found": P1_FOUND, "p1_overlap_sizes": P1_OVERLAP_SIZES, "p1_estimates_check": P1_ESTIMATES_CHECK, "p4_found": P4_FOUND, "p4_top_scores": P4_TOP_SCORES, "p6_found": P6_FOUND}
