@@ -189,8 +189,8 @@ def _merge_task(p: int, k: int):
 
 
 def hashed_members(members: DataFrame) -> DataFrame:
-    """(kind, set, h) without nulls; repeated rows stay."""
-    return present(members.select("kind", "set", "member")).select(F.col("kind").cast("string").alias("kind"), F.col("set").cast("string").alias("set"), F.xxhash64("member").alias("h"))
+    """(kind, set, h) without nulls; repeated rows stay. The kind is part of the hash, so that it alone tells members apart."""
+    return present(members.select("kind", "set", "member")).select(F.col("kind").cast("string").alias("kind"), F.col("set").cast("string").alias("set"), F.xxhash64("kind", "member").alias("h"))
 
 
 def sketch_sets(hashed: DataFrame, p: int = PRECISION, k: int = SAMPLE) -> DataFrame:
@@ -325,20 +325,25 @@ def _sampled_task(shared, bits: int):
 
 
 def candidate_pairs(hashed: DataFrame, sketches: DataFrame, min_share: float, min_size: float) -> DataFrame:
-    """Pairs (kind, small, large) that may share ``min_share`` of the smaller set, with ``matched`` of ``sampled`` of its members found in the larger one; both inputs must be materialized."""
+    """Pairs (kind, small, large) that may share ``min_share`` of the smaller set, with ``matched`` of ``sampled`` of its members found in the larger one; both inputs must be materialized.
+
+    Members meet as hashes and numbers of sets; names come back when the pairs are known.
+    """
     spark: SparkSession = hashed.sparkSession
     large_enough = sketches.where(F.col("n") >= min_size)
     raw, bits = sampled_bitmap(large_enough)
-    sizes = sized_broadcast(large_enough.select("kind", F.col("set").alias("large"), F.col("n").alias("n_large")))
+    sets = sized_broadcast(large_enough.select("kind", "set", F.col("id").alias("large"), F.col("n").alias("n_large")))
     near = hashed.mapInArrow(_sampled_task(spark.sparkContext.broadcast(raw), bits), "kind STRING, set STRING, h BIGINT")
     # Partitioned as the join needs it before repeated rows are dropped: moved once.
-    near = near.withColumnRenamed("set", "large").join(sizes, ["kind", "large"]).repartition("kind", "h").distinct()
-    samples = large_enough.select("kind", F.col("set").alias("small"), F.col("n").alias("n_small"), "whole", F.size("sample").alias("sampled"), F.explode("sample").alias("h"))
-    smaller = (F.col("n_small") < F.col("n_large")) | ((F.col("n_small") == F.col("n_large")) & (F.col("small") < F.col("large")))
-    met = samples.join(near, ["kind", "h"]).where(smaller)
-    pairs = met.groupBy("kind", "small", "large").agg(F.count(F.lit(1)).alias("matched"), F.first("sampled").alias("sampled"), F.first("whole").alias("whole"), F.first("n_small").alias("n_small"), F.first("n_large").alias("n_large"))
+    near = near.join(sets, ["kind", "set"]).select("h", "large", "n_large").repartition("h").distinct()
+    samples = large_enough.select(F.col("id").alias("small"), F.col("n").alias("n_small"), F.explode("sample").alias("h"))
+    met = samples.join(near, "h").where("n_small < n_large OR n_small = n_large AND small < large")
+    pairs = met.groupBy("small", "large").agg(F.count(F.lit(1)).alias("matched"))
+    names = large_enough.select("kind", F.col("set").alias("small_set"), F.col("id").alias("small"), F.col("n").alias("n_small"), "whole", F.size("sample").alias("sampled"))
     below = F.when(F.col("whole"), F.lit(0.0)).otherwise(SEARCH_ERRORS * F.sqrt(F.col("sampled") * F.lit(min_share * (1 - min_share))) + 1.0)
-    return pairs.where(F.col("matched") >= min_share * F.col("sampled") - below - 1e-9)
+    pairs = pairs.join(sized_broadcast(names), "small").where(F.col("matched") >= min_share * F.col("sampled") - below - 1e-9)
+    others = sized_broadcast(large_enough.select(F.col("set").alias("large_set"), F.col("id").alias("large"), F.col("n").alias("n_large")))
+    return pairs.join(others, "large").select("kind", F.col("small_set").alias("small"), F.col("large_set").alias("large"), "n_small", "n_large", "whole", "matched", "sampled")
 
 
 def exact_parts(hashed: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -363,7 +368,7 @@ def overlap_sizes(members: DataFrame, min_share: float, min_size: float = 1.0, p
     if not 0 < min_share <= 1:
         raise ValueError("min_share must be above 0 and at most 1: all pairs would have to be compared otherwise")
     hashed = materialize(hashed_members(members), "hashed-members")
-    sketches = materialize(sketch_sets(hashed, p, k), "set-sketches")
+    sketches = materialize(sketch_sets(hashed, p, k).withColumn("id", F.monotonically_increasing_id()), "set-sketches")
     pairs = materialize(candidate_pairs(hashed, sketches, min_share, min_size), "pairs")
     listed = sized_broadcast(pairs)
     packed = sketches.select("kind", "set", "registers")
