@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,32 +14,62 @@ def docs(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING").withColumn("tokens", F.lit("clash")).withColumn("rank", F.lit(1)).withColumn("piece", F.lit(1))
 
 
+def window_loads(plan, histogram):
+    loads = Counter()
+    for size, count in histogram.items():
+        for unit, tier in zip(*(x.tolist() for x in plan.window(np.full(count, size), np.arange(count))), strict=True):
+            loads[unit, tier] += size
+    return loads
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=20))
-def test_plan_places_everything_once(histogram):
-    plan = packing.plan_containers(histogram, 64, 4)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=20), st.sampled_from([1, 2, 4, 9]))
+def test_plan_places_everything_once(histogram, tiers):
+    plan = packing.plan_containers(histogram, 64, tiers)
     assert plan.used == sum(s * c for s, c in histogram.items())
+    windows = window_loads(plan, histogram)
+    assert all(v <= 64 >> tier for (_, tier), v in windows.items())
+    taken = [u for (unit, tier) in windows for u in range(unit, unit + (1 << (plan.tiers - 1 - tier)))]
+    assert len(taken) == len(set(taken)) and sorted(taken) == list(range(len(taken)))  # side by side, none over another
     load = Counter()
-    import numpy as np
-
     for size, count in histogram.items():
-        at = plan.place(np.full(count, size), np.arange(count))
+        at, _ = plan.place(np.full(count, size), np.arange(count))
         for c in at.tolist():
             load[c] += size
     assert all(v <= 64 for v in load.values()) and sorted(load) == list(range(plan.containers))
-    # Largest first: no two containers could have been one.
     assert plan.containers <= 2 * plan.used / 64 + 1
 
 
-def test_plan_is_dense():
+@pytest.mark.parametrize(("mean", "spread"), [(6, 1), (7.5, 1), (5, 0.7)])
+def test_tiers_make_other_plans_of_the_same_density(mean, spread):
     r = random.Random(2)
-    histogram = Counter(min(8192, int(r.lognormvariate(6, 1)) + 1) for _ in range(20_000))
-    plan = packing.plan_containers(histogram, 8192)
-    assert plan.used / (plan.containers * 8192) > 0.995
+    histogram = Counter(min(8192, int(r.lognormvariate(mean, spread)) + 1) for _ in range(20_000))
+    plans = {t: packing.plan_containers(histogram, 8192, t) for t in (1, 3, 6)}
+    for plan in plans.values():
+        bound = -(-plan.used // 8192)
+        assert plan.containers <= 1.01 * bound and plan.used / (plan.containers * 8192) > 0.99
+    assert set(plans[1].tier.tolist()) == {0}
+    assert len(set(plans[6].tier.tolist())) >= 4 and len(set(plans[3].tier.tolist())) == 3
+    # Windows of a longer tier hold documents of shorter ones in their gaps, and most windows of every tier are full.
+    sizes, tiers = plans[6].sizes[np.searchsorted(plans[6].before, plans[6].key, side="right") - 1], plans[6].tier
+    assert any(packing.tier_of(int(s), 8192) > t for s, t in zip(sizes, tiers, strict=True))
+    full = [v >= packing.LEAST_FILL * (8192 >> t) for (_, t), v in window_loads(plans[6], histogram).items()]
+    assert sum(full) > 0.97 * len(full)
     with pytest.raises(ValueError):
         packing.plan_containers({9: 1}, 8)
 
 
+def test_lengths_that_suit_no_window_are_packed_in_longer_ones():
+    plan = packing.plan_containers({300: 100_000}, 8192)
+    assert plan.containers == -(-100_000 // (8192 // 300))
+
+
+def test_very_large_capacity():
+    huge = 1 << 40
+    plan = packing.plan_containers({huge: 3, 5: 10**9, huge // 2: 4}, huge)
+    assert plan.containers == 6 and plan.place(np.array([huge, 5]), np.array([2, 10**9 - 1]))[0].max() < 6
+
+
 def test_pack(spark):
     encoding = tokens.load_encoding(tokens.DEFAULT_VOCABULARY)
     texts = [None, "", *["same text here"] * 40, "word " * 1000, "<|endoftext|>", *[f"text {i} " + "and more " * (i % 60) for i in range(300)]]
@@ -58,7 +89,7 @@ def test_pack(spark):
         if r["container_id"] is not None:
             load[r["container_id"]] += r["tokens"]
             steps[r["step_group"]].add(r["container_id"])
-            assert r["tier"] == packing.tier_of(r["tokens"], 128)
+            assert r["tier"] == packing.tier_of(r["tokens"], 128) >= r["window_tier"]
     assert max(load.values()) <= 128 and len(load) <= sum(want) / 128 * 1.05 + 1
     assert max(map(len, steps.values())) - min(map(len, steps.values())) <= 1
     assert [r["doc_id"] for r in packing.cut_documents(packing.pack(docs(spark, texts), 128)).collect()] == [i for i, n in enumerate(want) if n > 128]
