@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, present, sized_broadcast
+from ..session import present
 
 
 @dataclass(frozen=True)
@@ -262,15 +262,16 @@ def joint_counts(pairs: DataFrame, config: SketchConfig = SketchConfig()) -> Dat
 
 
 def repeated_cells(df: DataFrame, keys: Sequence[str], member: str, min_rows: int, max_ratio: float, config: SketchConfig = SketchConfig()) -> DataFrame:
-    """Cells of at least ``min_rows`` rows whose exact number of distinct members is at most ``max_ratio`` of their rows.
+    """Cells (keys, n_rows, n_distinct, rel_error) of at least ``min_rows`` rows whose estimated number of distinct members is at most ``max_ratio`` of their rows.
 
-    The sketches name the cells, with a margin of five standard errors; only their rows are counted exactly.
+    Rows are read once. The estimate decides: a cell at a true ratio r is taken as if it were at ``r (1 + e)``, e of standard error
+    ``rel_error``, so put ``max_ratio`` several errors from the ratios that must be told apart (see :func:`cut_between`).
     """
-    keys = list(keys)
-    counted = with_counts(sketch(df, keys, member, config), config)
-    near = counted.where((F.col("n_rows") >= min_rows) & (F.col("n_distinct") <= F.col("n_rows") * max_ratio * (1 + 5 * config.error))).select(*keys)
-    near = sized_broadcast(materialize(near, "near-cells"))
-    rows = present(df, *keys, member).select(*[F.col(k).cast("string").alias(k) for k in keys], F.col(member).alias("member"))
-    per_member = rows.join(near, keys, "left_semi").groupBy(*keys, "member").agg(F.count(F.lit(1)).alias("c"))
-    exact = per_member.groupBy(*keys).agg(F.sum("c").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"))
-    return exact.where((F.col("n_rows") >= min_rows) & (F.col("n_distinct") <= F.col("n_rows") * max_ratio))
+    counted = with_counts(sketch(df, list(keys), member, config), config)
+    return counted.where((F.col("n_rows") >= min_rows) & (F.col("n_distinct") <= F.col("n_rows") * max_ratio)).drop("registers")
+
+
+def cut_between(low: float, high: float, config: SketchConfig = SketchConfig()) -> tuple[float, float]:
+    """The ratio that lies as many standard errors above ``low`` as below ``high``, and that number."""
+    cut = 2 * low * high / (low + high)
+    return cut, (high - cut) / (high * config.error)

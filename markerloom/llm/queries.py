@@ -63,11 +63,17 @@ def _day(column: str):
     return F.col(column).cast("date").cast("string").alias("cell_day")
 
 
+#: No cell's ratio lies between these; 512 registers put six standard errors of the count between the cut and either.
+P6_RATIOS = (0.29, 0.5)
+CELLS = distinct.SketchConfig(m=512)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     tags = table(spark, d, "write_tasks").select(F.lit("hash").alias("kind"), _day("extracted_at"), F.col("sample").alias("grp"), F.col("hash").alias("member"))
     genomes = table(spark, d, "gcf_theory").select(F.lit("gcf_id").alias("kind"), _day("built_at"), F.col("db_name").alias("grp"), F.xxhash64("gcf_id").alias("member"), F.col("gcf_id").isNull().alias("gone"))
     rows = tags.unionByName(genomes.where("NOT gone").drop("gone"))
-    return distinct.repeated_cells(rows, ["kind", "cell_day", "grp"], "member", 20, 1 / 3).select("kind", "cell_day", "grp")
+    cut, _ = distinct.cut_between(*P6_RATIOS, CELLS)
+    return distinct.repeated_cells(rows, ["kind", "cell_day", "grp"], "member", 20, cut, CELLS).select("kind", "cell_day", "grp")
 
 
 def _tag_cells(spark: SparkSession, d: str) -> DataFrame:
@@ -101,6 +107,55 @@ def p6_day_overlap(spark: SparkSession, d: str) -> DataFrame:
     return distinct.joint_counts(days.select("cell_day", F.col("registers").alias("registers_a")).join(before, "cell_day"), DAYS)
 
 
+#: Estimates are checked to lie within this many standard errors of the exact numbers; there are some ten thousand cells.
+CHECK_ERRORS = 6
+
+
+def _within(estimates: DataFrame, exact: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys (of which some may be null), exact distinct members and whether the estimate is near enough."""
+    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"x.{k}")) for k in keys]
+    off = F.abs(F.col("e.n_distinct") - F.col("x.n_exact"))
+    return exact.alias("x").join(estimates.alias("e"), same).select(*[F.col(f"x.{k}") for k in keys], "x.n_exact", (off <= CHECK_ERRORS * F.col("e.rel_error") * F.col("x.n_exact")).alias("within"))
+
+
+def _exact_cube(rows: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """Exact distinct members of every combination of keys, as :func:`distinct.cube` estimates them."""
+    rows = rows.where(F.col(member).isNotNull())
+    out = None
+    for bits in range(1, 2 ** len(keys)):
+        own = [k for i, k in enumerate(keys) if bits >> i & 1]
+        cells = present(rows.select(*own, member), *own).distinct().groupBy(*own).agg(F.count(F.lit(1)).alias("n_exact"))
+        cells = cells.select(*[F.col(k) if k in own else F.lit(None).cast("string").alias(k) for k in keys], "n_exact")
+        out = cells if out is None else out.unionByName(cells)
+    return out
+
+
+def p6_distinct_tags_check(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of :func:`p6_distinct_tags` with their exact numbers, and whether the estimates are within six standard errors of them."""
+    keys = ["cell_day", "sample", "enzyme"]
+    rows = table(spark, d, "write_tasks").select(_day("extracted_at"), "sample", "enzyme", "hash")
+    return _within(p6_distinct_tags(spark, d), _exact_cube(rows, keys, "hash"), keys)
+
+
+def p6_distinct_genomes_check(spark: SparkSession, d: str) -> DataFrame:
+    """The same for :func:`p6_distinct_genomes`."""
+    keys = ["cell_day", "db_name"]
+    rows = table(spark, d, "gcf_theory").select(_day("built_at"), "db_name", "gcf_id")
+    return _within(p6_distinct_genomes(spark, d), _exact_cube(rows, keys, "gcf_id"), keys)
+
+
+def p6_day_overlap_check(spark: SparkSession, d: str) -> DataFrame:
+    """Each day's exact Jaccard coefficient with the day before, and whether the estimate of :func:`p6_day_overlap` is within six of its standard errors."""
+    tags = present(table(spark, d, "write_tasks").select(_day("extracted_at"), "hash")).distinct()
+    sizes = tags.groupBy("cell_day").agg(F.count(F.lit(1)).alias("n"))
+    after = lambda df, n: df.withColumn("cell_day", F.date_add(F.col("cell_day").cast("date"), 1).cast("string")).withColumnRenamed("n", n)
+    shared = tags.join(after(tags, "n_b"), ["cell_day", "hash"]).groupBy("cell_day").agg(F.count(F.lit(1)).alias("shared"))
+    days = sizes.withColumnRenamed("n", "n_a").join(after(sizes, "n_b"), "cell_day").join(shared, "cell_day", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    exact = days.select("cell_day", "shared", (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("exact"))
+    both = exact.join(p6_day_overlap(spark, d), "cell_day")
+    return both.select("cell_day", "shared", (F.abs(F.col("jaccard") - F.col("exact")) <= CHECK_ERRORS * F.col("jaccard_error")).alias("within"))
+
+
 def _capacity(spark: SparkSession, d: str) -> int:
     return table(spark, d, "containers").select("capacity_tokens").first()[0]  # one row at every scale
 
@@ -140,4 +195,4 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam.score_messages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_overlap_sizes, p1_estimates, p1_estimates_check, p4_found, p4_top_scores, p6_found, p6_distinct_tags, p6_distinct_genomes, p6_day_overlap, p7_found, p7_containers, p7_fill, p8_found, p8_mix, p8_shares, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_overlap_sizes, p1_estimates, p1_estimates_check, p4_found, p4_top_scores, p6_found, p6_distinct_tags, p6_distinct_genomes, p6_day_overlap, p6_distinct_tags_check, p6_distinct_genomes_check, p6_day_overlap_check, p7_found, p7_containers, p7_fill, p8_found, p8_mix, p8_shares, p9_found, p9_scores)}

@@ -33,4 +33,28 @@ WITH r AS (
 SELECT kind, cell_day, grp FROM r WHERE cell_day IS NOT NULL AND grp IS NOT NULL AND x IS NOT NULL GROUP BY ALL HAVING count(*) >= 20 AND count(DISTINCT x) * 3 <= count(*)
 """
 
-SQL = {"p1_found": P1_FOUND, "p1_overlap_sizes": P1_OVERLAP_SIZES, "p1_estimates_check": P1_ESTIMATES_CHECK, "p4_found": P4_FOUND, "p4_top_scores": P4_TOP_SCORES, "p6_found": P6_FOUND}
+_DAY_TAGS = "strftime(extracted_at, '%Y-%m-%d')"
+P6_DISTINCT_TAGS_CHECK = f"""
+WITH r AS (SELECT {_DAY_TAGS} AS cell_day, sample, enzyme, hash FROM write_tasks WHERE hash IS NOT NULL)
+SELECT cell_day, NULL::VARCHAR AS sample, NULL::VARCHAR AS enzyme, count(DISTINCT hash) AS n_exact, true AS within FROM r WHERE cell_day IS NOT NULL GROUP BY ALL
+UNION ALL SELECT NULL, sample, NULL, count(DISTINCT hash), true FROM r WHERE sample IS NOT NULL GROUP BY ALL
+UNION ALL SELECT NULL, NULL, enzyme, count(DISTINCT hash), true FROM r WHERE enzyme IS NOT NULL GROUP BY ALL
+UNION ALL SELECT cell_day, sample, NULL, count(DISTINCT hash), true FROM r WHERE cell_day IS NOT NULL AND sample IS NOT NULL GROUP BY ALL
+UNION ALL SELECT cell_day, NULL, enzyme, count(DISTINCT hash), true FROM r WHERE cell_day IS NOT NULL AND enzyme IS NOT NULL GROUP BY ALL
+UNION ALL SELECT NULL, sample, enzyme, count(DISTINCT hash), true FROM r WHERE sample IS NOT NULL AND enzyme IS NOT NULL GROUP BY ALL
+UNION ALL SELECT cell_day, sample, enzyme, count(DISTINCT hash), true FROM r WHERE cell_day IS NOT NULL AND sample IS NOT NULL AND enzyme IS NOT NULL GROUP BY ALL
+"""
+P6_DISTINCT_GENOMES_CHECK = """
+WITH r AS (SELECT strftime(built_at, '%Y-%m-%d') AS cell_day, db_name, gcf_id FROM gcf_theory WHERE gcf_id IS NOT NULL)
+SELECT cell_day, NULL::VARCHAR AS db_name, count(DISTINCT gcf_id) AS n_exact, true AS within FROM r WHERE cell_day IS NOT NULL GROUP BY ALL
+UNION ALL SELECT NULL, db_name, count(DISTINCT gcf_id), true FROM r WHERE db_name IS NOT NULL GROUP BY ALL
+UNION ALL SELECT cell_day, db_name, count(DISTINCT gcf_id), true FROM r WHERE cell_day IS NOT NULL AND db_name IS NOT NULL GROUP BY ALL
+"""
+P6_DAY_OVERLAP_CHECK = """
+WITH r AS (SELECT DISTINCT extracted_at::DATE AS d, hash FROM write_tasks WHERE hash IS NOT NULL AND extracted_at IS NOT NULL),
+s AS (SELECT a.d, count(*) AS c FROM r a JOIN r b ON a.d = b.d + 1 AND a.hash = b.hash GROUP BY 1),
+n AS (SELECT DISTINCT a.d FROM r a WHERE EXISTS (SELECT 1 FROM r b WHERE a.d = b.d + 1))
+SELECT strftime(n.d, '%Y-%m-%d') AS cell_day, coalesce(c, 0) AS shared, true AS within FROM n LEFT JOIN s USING (d)
+"""
+
+SQL = {"p6_distinct_tags_check": P6_DISTINCT_TAGS_CHECK, "p6_distinct_genomes_check": P6_DISTINCT_GENOMES_CHECK, "p6_day_overlap_check": P6_DAY_OVERLAP_CHECK, "p1_found": P1_FOUND, "p1_overlap_sizes": P1_OVERLAP_SIZES, "p1_estimates_check": P1_ESTIMATES_CHECK, "p4_found": P4_FOUND, "p4_top_scores": P4_TOP_SCORES, "p6_found": P6_FOUND}

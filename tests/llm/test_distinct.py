@@ -62,10 +62,13 @@ def test_joint_estimate(spark):
 
 
 def test_repeated_cells(spark):
-    rows = [("r", i % 9) for i in range(30)] + [("u", i) for i in range(30)] + [("few", 1)] * 19 + [("edge", i % 10) for i in range(30)] + [(None, 1)] * 30 + [("nul", None)] * 30
-    df = spark.createDataFrame(rows, "cell STRING, x BIGINT")
-    got = {r["cell"]: (r["n_rows"], r["n_distinct"]) for r in distinct.repeated_cells(df, ["cell"], "x", 20, 1 / 3).collect()}
-    assert got == {"r": (30, 9), "edge": (30, 10)}
+    rows = [("r", i % 9) for i in range(40)] + [("u", i) for i in range(30)] + [("few", 1)] * 19 + [("half", i % 20) for i in range(40)] + [(None, 1)] * 30 + [("nul", None)] * 30
+    df = spark.createDataFrame(rows, "cell STRING, x BIGINT").withColumn("n_distinct", F.lit("clash")).withColumn("registers", F.lit(1))
+    cut, errors = distinct.cut_between(0.29, 0.5, distinct.SketchConfig(m=512))
+    assert 0.29 < cut < 0.5 and errors > 5 and abs((cut - 0.29) / 0.29 - (0.5 - cut) / 0.5) < 1e-9
+    got = {r["cell"]: r["n_rows"] for r in distinct.repeated_cells(df, ["cell"], "x", 20, cut, distinct.SketchConfig(m=512)).collect()}
+    assert got == {"r": 40}
+    assert distinct.repeated_cells(df.limit(0), ["cell"], "x", 20, cut).count() == 0
 
 
 def test_cube_counts_null_keys_where_they_play_no_part(spark):
