@@ -2,15 +2,17 @@
 
 Score and identifier become one order-preserving BIGINT code, so ties are decided once and for all. Each round splits the
 range that still holds a group's cutoff into ``fanout`` slices and counts the rows of every slice, for all groups in one
-aggregation (``fanout = 2`` is plain bisection); the slice in which the N-th row lies is the next range. No group is ever
-sorted or gathered: a task holds counts, and what is ranked at the end is N rows of a group.
+aggregation (``fanout = 2`` is plain bisection); the slice in which the N-th row lies is the next range. The first round has one
+range for all groups and joins nothing; a later round reads only the rows that lay within their group's range the round before,
+so the rows shrink as the ranges do. No group is ever sorted or gathered: a task holds counts, and what is ranked at the end is
+N rows of a group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +20,7 @@ from pyspark.sql import types as T
 from ..session import materialize, present, sized_broadcast
 
 CODE_BITS = 62
-#: Groups beyond the broadcast bound are joined with this many copies of their cutoffs, so that no group meets a single task.
+#: Where cutoffs are too many to broadcast, groups that hold more than a quarter of a task's share of the rows are joined in this many parts.
 SALTS = 16
 
 
@@ -32,11 +34,17 @@ def _dense_order(df: DataFrame, column: str) -> DataFrame:
 
 
 def _with_cutoffs(rows: DataFrame, cutoffs: DataFrame, keys: list[str]) -> DataFrame:
-    small = sized_broadcast(cutoffs)
-    if small is not cutoffs:
+    """Rows with their group's columns of ``cutoffs``, of which ``size``, the rows of the group, is used up here."""
+    slim = cutoffs.drop("size")
+    small = sized_broadcast(slim)
+    if small is not slim:
         return rows.join(small, keys)
-    salted = cutoffs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("code"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"]).drop("salt")
+    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = (cutoffs.agg(F.sum("size")).first()[0] or 0) / parts
+    crowded = F.broadcast(cutoffs.where(F.col("size") > share).select(*keys, F.lit(True).alias("crowded")))  # fewer than ``parts`` groups can hold so much
+    salted = slim.join(crowded, keys, "left").withColumn("salt", F.explode(F.when(F.col("crowded"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("crowded")
+    salt = F.when(F.col("crowded"), F.pmod(F.xxhash64("code"), F.lit(SALTS)).cast("int")).otherwise(0)
+    return rows.join(crowded, keys, "left").withColumn("salt", salt).drop("crowded").join(salted, [*keys, "salt"]).drop("salt")
 
 
 def encode(df: DataFrame, groups: Sequence[str], item: str, score: str) -> DataFrame:
@@ -66,26 +74,38 @@ def encode(df: DataFrame, groups: Sequence[str], item: str, score: str) -> DataF
 
 
 def cutoffs(codes: DataFrame, groups: Sequence[str], n: int, fanout: int = 64) -> DataFrame:
-    """For each group the code of its n-th row (of its last one, if it has fewer)."""
+    """For each group its ``cutoff``, the code of its n-th row (of its last one, if it has fewer), and its ``size`` in rows."""
     groups = list(groups)
-    # lo, hi: range of codes that holds the cutoff, above: rows beyond the range, inside: rows in it.
-    state = codes.groupBy(*groups).agg(F.min("code").alias("lo"), F.max("code").alias("hi"), F.count(F.lit(1)).alias("inside")).withColumn("above", F.lit(0).cast("bigint"))
-    state = materialize(state, "cutoffs")
-    found = None
+    every, down = W.partitionBy(*groups), W.partitionBy(*groups).orderBy(F.desc("slice"))  # over at most fanout rows of a group
+
+    def counted(rows: DataFrame, lo: Column, hi: Column) -> DataFrame:
+        width = F.floor((hi - lo) / fanout).cast("bigint") + 1
+        slices = rows.groupBy(*groups, F.call_function("div", F.col("code") - lo, width).alias("slice"))
+        return slices.agg(F.min("code").alias("s_lo"), F.max("code").alias("s_hi"), F.count(F.lit(1)).alias("c"), F.first("above").alias("above"), F.first("size").alias("size"))
+
+    def next_state(slices: DataFrame) -> DataFrame:
+        # lo, hi: range of codes that holds the cutoff, above: rows beyond the range, inside: rows in it.
+        ranked = slices.withColumn("upto", F.col("above") + F.sum("c").over(down)).withColumn("size", F.coalesce("size", F.sum("c").over(every)))
+        short = F.col("size") <= n  # the group has no n-th row: its last slice is the one
+        hit = ranked.where(F.when(short, F.col("upto") == F.col("size")).otherwise((F.col("upto") >= n) & (F.col("upto") - F.col("c") < n)))
+        return materialize(hit.select(*groups, F.col("s_lo").alias("lo"), F.when(short, F.col("s_lo")).otherwise(F.col("s_hi")).alias("hi"), F.col("c").alias("inside"), (F.col("upto") - F.col("c")).alias("above"), "size"), "cutoffs")
+
+    ends = codes.agg(F.min("code").alias("lo"), F.max("code").alias("hi")).first()
+    zero = F.lit(0).cast("bigint")
+    state = next_state(counted(codes.withColumn("above", zero).withColumn("size", F.lit(None).cast("bigint")), F.lit(ends["lo"] or 0), F.lit(ends["hi"] or 0)))
+    rows, found = codes.select(*groups, "code"), None
     while True:
         settled = (F.col("above") + F.col("inside") <= n) | (F.col("lo") == F.col("hi"))
-        done = state.where(settled).select(*groups, F.col("lo").alias("cutoff"))
+        done = state.where(settled).select(*groups, F.col("lo").alias("cutoff"), "size")
         found = done if found is None else found.unionByName(done)
         open_ = state.where(~settled)
         if open_.isEmpty():
             return found
-        width = F.floor((F.col("hi") - F.col("lo")) / fanout).cast("bigint") + 1
-        rows = _with_cutoffs(codes.select(*groups, "code"), open_.select(*groups, "lo", "hi", "above"), groups).where("code BETWEEN lo AND hi")
-        slices = rows.groupBy(*groups, F.expr("(code - lo) div (floor((hi - lo) / %d) + 1)" % fanout).alias("slice")).agg(F.min("code").alias("s_lo"), F.max("code").alias("s_hi"), F.count(F.lit(1)).alias("c"), F.first("above").alias("above"))
-        down = W.partitionBy(*groups).orderBy(F.desc("slice"))  # at most fanout rows
-        ranked = slices.withColumn("upto", F.col("above") + F.sum("c").over(down))
-        hit = ranked.where((F.col("upto") >= n) & (F.col("upto") - F.col("c") < n))
-        state = materialize(hit.select(*groups, F.col("s_lo").alias("lo"), F.col("s_hi").alias("hi"), F.col("c").alias("inside"), (F.col("upto") - F.col("c")).alias("above")), "cutoffs")
+        ranges = open_.select(*groups, "lo", "hi", "above", F.col("size").alias("group_size"), F.col("inside").alias("size"))
+        inside = _with_cutoffs(rows, ranges, groups).where("code BETWEEN lo AND hi")
+        inside = materialize(inside.withColumnRenamed("group_size", "size"), "open-rows")
+        state = next_state(counted(inside, F.col("lo"), F.col("hi")))
+        rows = inside.select(*groups, "code")
 
 
 def top_n(df: DataFrame, groups: Sequence[str], item: str, score: str, n: int, fanout: int = 64) -> DataFrame:

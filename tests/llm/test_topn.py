@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from markerloom import session
 from markerloom.llm import topn
 
 
@@ -46,6 +47,29 @@ def test_unbroadcast_cutoffs(spark, monkeypatch):
     assert run(df, 4) == brute(rows, 4)
 
 
+def test_crowded_groups_without_broadcast(spark, monkeypatch):
+    """One group of a third of the rows is joined in salted parts, the others whole."""
+    monkeypatch.setattr(topn, "sized_broadcast", lambda df, *a: df)
+    r = random.Random(9)
+    rows = [("hot", f"i{i}", r.randrange(300)) for i in range(1000)] + [(f"g{i % 200}", f"i{i}", r.randrange(9)) for i in range(2000)]
+    assert run(spark.createDataFrame(rows, "g STRING, i STRING, s BIGINT"), 7, 8) == brute(rows, 7)
+
+
+def test_rounds_read_fewer_and_fewer_rows(spark, monkeypatch):
+    written = []
+
+    def count(df, label="stage"):
+        out = session.materialize(df, label)
+        if label == "open-rows":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(topn, "materialize", count)
+    rows = spark.range(40_000).select((F.col("id") % 4).cast("string").alias("g"), F.format_string("i%06d", "id").alias("i"), (F.pmod(F.xxhash64("id"), F.lit(5_000))).alias("s"))
+    assert topn.top_n(rows, ["g"], "i", "s", 5, 16).count() == 20
+    assert len(written) > 2 and all(b <= a / 4 for a, b in zip(written, written[1:])) and written[0] < 40_000 / 8
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "g STRING, i STRING, s BIGINT")
     assert run(df, 3) == set()
