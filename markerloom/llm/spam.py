@@ -45,6 +45,7 @@ _MARKDOWN = re.compile(r"\[([^\]\n]*)\]\((?:https?://|www\.)[^)\s]*\)?")
 _ANCHOR = re.compile(f"{LINK}([^{END}]*){END}?")
 _DATA_LINE = re.compile(r"\d{1,2}:\d\d|.*\t|[^\W\d_]+ \d+:|\d{4}-\d\d-\d\d")
 _WORD = re.compile(r"[^\W\d_]+")
+_DIGIT = re.compile(r"\d")
 _STOP = re.compile(r"(?<=[.!?])\s+")
 _SEPARATOR = re.compile(r"[,;|/•#]")
 
@@ -63,6 +64,7 @@ def features(own: str, prose: frozenset[str]) -> list[float]:
     """Values of ``FEATURES`` of own lines; shares refer to the own words, of which a link's address is one."""
     sentence = data = loose = links = link_words = longest = link_lines = 0
     words: list[str] = []
+    lower: list[str] = []
     paragraphs, held, lines = [], [], 0
     for line in [*own.split("\n"), ""]:
         if line and not _DATA_LINE.match(line):
@@ -91,20 +93,21 @@ def features(own: str, prose: frozenset[str]) -> list[float]:
         body.append(p)
         for s in _STOP.split(p):
             w = _WORD.findall(s)
-            if len(w) >= SENTENCE_WORDS and sum(x in prose for x in map(str.lower, w)) >= SENTENCE_SHARE * len(w):
+            low = [x.lower() for x in w]
+            if len(w) >= SENTENCE_WORDS and sum(map(prose.__contains__, low)) >= SENTENCE_SHARE * len(w):
                 sentence += len(w)
             else:
                 loose += len(w)
             longest = max(longest, len(w))
             words += w
+            lower += low
     total = max(sentence + data + loose + link_words, 1)
-    lower = [w.lower() for w in words]
     n, seen = max(len(lower), 1), Counter(lower)
     joined = "\n".join(body)
     return [
         sentence / total, data / total, link_words / total, loose / total, math.log1p(sentence + data + loose + link_words), math.log1p(links),
-        sum(w in prose for w in lower) / n, len(seen) / n, max(seen.values(), default=0) / n, len(set(zip(lower, lower[1:]))) / n,
-        sum(c for w, c in seen.items() if c >= 4 and w not in prose) / n, sum(map(str.isdigit, joined)) / max(len(joined), 1), len(_SEPARATOR.findall(joined)) / n,
+        sum(map(prose.__contains__, lower)) / n, len(seen) / n, max(seen.values(), default=0) / n, len(set(zip(lower, lower[1:]))) / n,
+        sum(c for w, c in seen.items() if c >= 4 and w not in prose) / n, len(_DIGIT.findall(joined)) / max(len(joined), 1), len(_SEPARATOR.findall(joined)) / n,
         joined.count("#") / n, sum(w[0].isupper() for w in words) / n, n / max(lines, 1), sum(map(joined.count, ".!?")) / n, math.log1p(longest), link_lines / max(lines, 1),
     ]
 
