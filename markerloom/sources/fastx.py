@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from . import files
 
-SUFFIXES = tuple(f"{s}{z}" for s in (".fa", ".fna", ".fasta", ".fq", ".fastq") for z in ("", ".gz", ".zst", ".bz2"))
+SUFFIXES = tuple(f"{s}{z}" for s in (".fa", ".fna", ".fasta", ".fq", ".fastq") for z in ("", ".gz", ".zst", ".bz2", ".xz"))
+
+
+#: Records and bases that are passed on together; only memory depends on them.
+BATCH_ROWS, BATCH_BASES = 8_192, 1 << 24
 
 
 def parse(stream) -> Iterator[tuple[str, str, str | None]]:
@@ -48,10 +53,24 @@ class FastxReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [_File(p) for p in self.paths]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+        rows, held, first = [], 0, 1
+
+        def batch() -> pa.RecordBatch:
+            header, seq, qual = zip(*rows, strict=True)
+            n = len(rows)
+            return pa.RecordBatch.from_arrays([pa.array([partition.path] * n), pa.array(range(first, first + n), pa.int64()), pa.array(header, pa.string()), pa.array(seq, pa.string()), pa.array(qual, pa.string())], names=["file", "ordinal", "header", "seq", "qual"])
+
         with files.open_input(partition.path) as stream:
-            for i, (header, seq, qual) in enumerate(parse(stream), 1):
-                yield partition.path, i, header, seq, qual
+            for row in parse(stream):
+                rows.append(row)
+                held += len(row[1])
+                if len(rows) == BATCH_ROWS or held >= BATCH_BASES:
+                    yield batch()
+                    first += len(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch()
 
 
 class FastxSource(DataSource):

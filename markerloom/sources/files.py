@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import io
+import lzma
 
 import pyarrow as pa
 from pyarrow import fs
 
-ZSTD_MAGIC, GZIP_MAGIC, BZIP_MAGIC = b"\x28\xb5\x2f\xfd", b"\x1f\x8b", b"BZh"
+ZSTD_MAGIC, GZIP_MAGIC, BZIP_MAGIC, XZ_MAGIC = b"\x28\xb5\x2f\xfd", b"\x1f\x8b", b"BZh", b"\xfd7zXZ"
 
 
 def locate(path: str) -> tuple[fs.FileSystem, str]:
@@ -31,13 +32,20 @@ def expand(paths: str, suffixes: tuple[str, ...] = ()) -> list[str]:
     return out
 
 
+def exists(path: str) -> bool:
+    system, inner = locate(path)
+    return system.get_file_info(inner).type != fs.FileType.NotFound
+
+
 def open_input(path: str):
     """A readable binary stream, decompressed by what the file starts with."""
     system, inner = locate(path)
     with system.open_input_stream(inner, compression=None) as probe:
-        magic = bytes(probe.read(4))
-    kind = "zstd" if magic == ZSTD_MAGIC else "gzip" if magic[:2] == GZIP_MAGIC else "bz2" if magic[:3] == BZIP_MAGIC else None
+        magic = bytes(probe.read(5))
+    kind = "zstd" if magic[:4] == ZSTD_MAGIC else "gzip" if magic[:2] == GZIP_MAGIC else "bz2" if magic[:3] == BZIP_MAGIC else None
     raw = system.open_input_stream(inner, compression=None)
+    if magic == XZ_MAGIC:
+        return lzma.open(pa.PythonFile(raw, mode="r"))
     return io.BufferedReader(pa.PythonFile(pa.CompressedInputStream(raw, kind), mode="r"), 1 << 20) if kind else io.BufferedReader(pa.PythonFile(raw, mode="r"), 1 << 20)
 
 
@@ -52,3 +60,16 @@ def open_output(path: str, compression: str | None = None):
 def delete(path: str) -> None:
     system, inner = locate(path)
     system.delete_file(inner)
+
+
+def replace(path: str, final: str) -> None:
+    """Give a finished file its final name, in place of an older one."""
+    system, inner = locate(path)
+    target = locate(final)[1]
+    try:
+        system.move(inner, target)
+    except OSError:  # file systems that don't move onto a file
+        if system.get_file_info(target).type == fs.FileType.NotFound:
+            raise
+        system.delete_file(target)
+        system.move(inner, target)

@@ -2,40 +2,65 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files, tagstream
 
 
-def _write_task(folder: str, suffix: str):
+def _write_task(columns: list[str], encode: Callable, header: bytes):
+    """A file for each owner, in the order the rows come: written beside its place under the task attempt's name, and moved there when whole, so that a second attempt never touches a file in use."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, out, n, done = None, None, 0, []
-        for batch in batches:
-            for owner, h, record in zip(*(batch.column(c).to_pylist() for c in ("owner", "hash", "id")), strict=True):
-                if owner != name:
-                    if out is not None:
-                        out.close()
-                        done.append((name, n))
-                    name, n, out = owner, 0, files.open_output(f"{folder}/{owner}{suffix}")
-                out.write(tagstream.pack(h, record))
-                n += 1
-        if out is not None:
-            out.close()
-            done.append((name, n))
-        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["owner", "n_records"])
+        from pyspark import TaskContext
+
+        attempt = TaskContext.get().taskAttemptId()
+        path, out, n, done = None, None, 0, []
+
+        def finish() -> None:
+            nonlocal out
+            if out is not None:
+                out.close()
+                out = None
+                files.replace(f"{path}.{attempt}.tmp", path)
+                done.append((path, n))
+
+        try:
+            for batch in batches:
+                for owner, *values in zip(*(batch.column(c).to_pylist() for c in ("owner", *columns)), strict=True):
+                    if owner != path:
+                        finish()
+                        path, n, out = owner, 0, files.open_output(f"{owner}.{attempt}.tmp")
+                        out.write(header)
+                    out.write(encode(*values))
+                    n += 1
+            finish()
+        except BaseException:
+            if out is not None:
+                out.close()
+                files.delete(f"{path}.{attempt}.tmp")
+            raise
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["path", "n_records"])
 
     return run
 
 
 def write_streams(records: DataFrame, owner: str, folder: str, suffix: str, order: list[str]) -> DataFrame:
-    """Record streams ``<folder>/<owner><suffix>`` from columns hash and id, each in ``order``: a task streams through whole owners, so one file is never in memory. Returns (owner, n_records)."""
-    rows = records.select(F.col(owner).alias("owner"), "hash", "id", *order).dropna(subset=["owner", "hash", "id"])
+    """Record streams ``<folder>/<owner><suffix>`` from columns hash and id, each in ``order``: a task streams through whole owners, so one file is never in memory. Returns (path, n_records)."""
+    rows = records.select(F.concat(F.lit(f"{folder.rstrip('/')}/"), F.col(owner), F.lit(suffix)).alias("owner"), "hash", "id", *order).dropna(subset=["owner", "hash", "id"])
     sorted_rows = rows.repartition("owner").sortWithinPartitions("owner", *order).select("owner", "hash", "id")
-    return sorted_rows.mapInArrow(_write_task(folder.rstrip("/"), suffix), "owner STRING, n_records BIGINT")
+    return sorted_rows.mapInArrow(_write_task(["hash", "id"], tagstream.pack, b""), "path STRING, n_records BIGINT")
+
+
+def write_tables(lines: DataFrame, path: Column, order: list[str], header: str | None = None) -> DataFrame:
+    """Text files, one for each value of ``path``, from column line in ``order``: all samples' files in one job. Returns (path, n_records)."""
+    rows = lines.select(path.alias("owner"), "line", *[c for c in order if c != "line"]).dropna(subset=["owner", "line"])
+    sorted_rows = rows.repartition("owner").sortWithinPartitions("owner", *order).select("owner", "line")
+    top = header.encode() + b"\n" if header is not None else b""
+    return sorted_rows.mapInArrow(_write_task(["line"], lambda line: line.encode() + b"\n", top), "path STRING, n_records BIGINT")
 
 
 def load_streams(spark: SparkSession, owners: list[tuple[str, str]]) -> DataFrame:

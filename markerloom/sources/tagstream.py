@@ -5,13 +5,17 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from . import files
 
 SUFFIXES = (".iibsp", ".iibdb", ".iibsp.gz", ".iibdb.gz", ".iibsp.zst", ".iibdb.zst")
 LONGEST_ID = 65535
+#: Records that are passed on together.
+BATCH_ROWS = 65_536
 
 
 def parse(stream) -> Iterator[tuple[int, str]]:
@@ -52,12 +56,15 @@ class _Reader(DataSourceReader):
             return False
         return True
 
-    def read(self, partition: _File) -> Iterator[tuple]:
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         if self.skip_broken and not self._whole(partition.path):
             return
         with files.open_input(partition.path) as stream:
-            for i, (h, name) in enumerate(parse(stream), 1):
-                yield partition.path, i, h, name
+            records, first = parse(stream), 1
+            while rows := list(islice(records, BATCH_ROWS)):
+                h, names = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(rows)), pa.array(range(first, first + len(rows)), pa.int64()), pa.array(h, pa.int64()), pa.array(names, pa.string())], names=["file", "ordinal", "hash", "id"])
+                first += len(rows)
 
 
 @dataclass
