@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import chain, islice
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..enzymes import enzyme
@@ -82,3 +86,32 @@ def count_records(spark: SparkSession, paths: str, distinct: bool = False) -> Da
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     more = [F.count_distinct("hash").alias("n_tags")] if distinct else []
     return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n_records"), *more)
+
+
+def first_records(path: str, n: int) -> list[tuple]:
+    """The first ``n`` records of a file as (hash unsigned, id or genome); no more of it is read than they need."""
+    with files.open_input(path) as f:
+        if not tagdb.is_compact(path):
+            return [(h & (1 << 64) - 1, name) for h, name in islice(tagstream.parse(f), n)]
+        version, _, genomes = tagdb.read_header(f)
+        rows = chain.from_iterable(zip(b["hash"].tolist(), b["index"].tolist(), strict=True) for b in tagdb.records(f, version))
+        return [(h & (1 << 64) - 1, genomes[i] if i < len(genomes) else None) for h, i in islice(rows, n)]
+
+
+def groups_of_files(spark: SparkSession, paths: list[str], k: int, full: bool) -> DataFrame:
+    """(file, place, genome, n_records): of each file the ``k`` genomes or contigs with most records, equal ones by their place in the head and name; without ``full`` the first ``k`` of the head of compact files, uncounted."""
+    compact = [p for p in paths if tagdb.is_compact(p)]
+    heads = []
+    for path in compact:
+        with files.open_input(path) as f:
+            heads += [(path, i, g) for i, g in enumerate(tagdb.read_header(f)[2][: None if full else k], 1)]
+    head = spark.createDataFrame(heads, "file STRING, place INT, genome STRING")
+    if not full:
+        return head.withColumn("n_records", F.lit(None).cast("bigint"))
+    parts = [spark.read.format("tagdb").option("path", ",".join(compact)).load().select("file", F.col("gcf_id").alias("genome"))] if compact else []
+    if streams := [p for p in paths if p not in set(compact)]:
+        parts.append(spark.read.format("tagstream").option("path", ",".join(streams)).load().select("file", inspect.group_key("id").alias("genome")))
+    counts = reduce(DataFrame.unionByName, parts).where("genome IS NOT NULL").groupBy("file", "genome").agg(F.count(F.lit(1)).alias("n_records"))
+    order = W.partitionBy("file").orderBy(F.desc("n_records"), F.asc_nulls_last("place"), "genome")
+    ranked = counts.join(head, ["file", "genome"], "left").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return ranked.select("file", "place", "genome", "n_records")

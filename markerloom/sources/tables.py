@@ -50,8 +50,8 @@ def rank_list(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.trim(F.col("parts")[0]).alias("gcf_id"), F.transform(F.slice("parts", F.lit(2), F.size("parts") - 1), lambda x: F.trim(x)).alias("taxonomy"))
 
 
-def profile_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, taxon, eight metrics) of profile tables without regard to the number of rank columns; numbers that can't be read are 0."""
+def profile_table(spark: SparkSession, path: str | list[str], keep_line: bool = False) -> DataFrame:
+    """(file, taxon, eight metrics, the line itself if wanted) of profile tables without regard to the number of rank columns; numbers that can't be read are 0."""
     metrics = ("theoretical_tag_num", "sequenced_tag_num", "percent", "sequenced_reads_num", "reads_per_theoretical", "reads_per_sequenced", "sequenced_tag_num_gt1", "g_score")
     rows = data_lines(spark, path).where(F.size("parts") > 8)
     taxon = F.concat_ws("\t", F.slice("parts", F.lit(1), F.size("parts") - 8))
@@ -59,7 +59,7 @@ def profile_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
     def number(i: int):
         return F.coalesce(F.regexp_replace(F.element_at("parts", i - 8), "%$", "").try_cast("double"), F.lit(0.0))
 
-    return rows.select("file", taxon.alias("taxon"), *[number(i).alias(m) for i, m in enumerate(metrics)])
+    return rows.select("file", taxon.alias("taxon"), *[number(i).alias(m) for i, m in enumerate(metrics)], *["line"] * keep_line)
 
 
 def combined_profile(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
@@ -126,10 +126,10 @@ def write_table(df: DataFrame, path: str, header: bool = True, partition_by: lis
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 
-def profile_rows(profile: DataFrame) -> DataFrame:
-    """Metric columns as they stand in text: ratios with 8 decimals, the percentage with its sign."""
+def profile_rows(profile: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Metric columns as they stand in text, after the columns ``keep`` (sample, taxon): ratios with 8 decimals, the percentage with its sign."""
     f = lambda c: F.format_string("%.8f", F.col(c))
-    return profile.select("sample", "taxon", f("theoretical_tag_num").alias("Theoretical_Tag_Num"), F.col("sequenced_tag_num").alias("Sequenced_Tag_Num"), F.format_string("%.8f%%", "percent").alias("Percent"), F.col("sequenced_reads_num").alias("Sequenced_Reads_Num"), f("reads_per_theoretical").alias("Sequenced_Reads_Num/Theoretical_Tag_Num"), f("reads_per_sequenced").alias("Sequenced_Reads_Num/Sequenced_Tag_Num"), F.col("sequenced_tag_num_gt1").alias("Sequenced_Tag_Num(depth>1)"), f("g_score").alias("G_Score"))
+    return profile.select(*(keep or ["sample", "taxon"]), f("theoretical_tag_num").alias("Theoretical_Tag_Num"), F.col("sequenced_tag_num").alias("Sequenced_Tag_Num"), F.format_string("%.8f%%", "percent").alias("Percent"), F.col("sequenced_reads_num").alias("Sequenced_Reads_Num"), f("reads_per_theoretical").alias("Sequenced_Reads_Num/Theoretical_Tag_Num"), f("reads_per_sequenced").alias("Sequenced_Reads_Num/Sequenced_Tag_Num"), F.col("sequenced_tag_num_gt1").alias("Sequenced_Tag_Num(depth>1)"), f("g_score").alias("G_Score"))
 
 
 def write_classification(genomes: DataFrame, path: str) -> None:

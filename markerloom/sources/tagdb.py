@@ -42,7 +42,7 @@ def read_header(stream) -> tuple[int, int | None, list[str]]:
     return version, count, genomes
 
 
-def _records(stream, version: int) -> Iterator[np.ndarray]:
+def records(stream, version: int) -> Iterator[np.ndarray]:
     if version > 1:
         import zstandard
 
@@ -72,7 +72,7 @@ class _Reader(DataSourceReader):
         with files.open_input(partition.path) as stream:
             version, _, genomes = read_header(stream)
             names = pa.array([*genomes, None], pa.string())
-            for block in _records(stream, version):
+            for block in records(stream, version):
                 index = block["index"].astype(np.int64)
                 where = np.where(index < len(genomes), index, len(genomes))
                 yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(block)), pa.array(block["hash"].astype(np.int64)), pa.array(index), names.take(pa.array(where))], names=["file", "hash", "gcf_index", "gcf_id"])

@@ -3,8 +3,10 @@ import gzip
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from markerloom import cli
+from markerloom.operators import features
 from markerloom.sources import files, tagstream
 
 BASES = "ACGT"
@@ -84,8 +86,8 @@ def test_steps_and_pipeline(spark, study):
     assert functions[0] == "#Function\ts1\ts2\tctl" and [x.split("\t")[0] for x in functions[1:]] == ["K1", "K2"] and functions[2].endswith("\t1.00000000")
     run("inspect", d / "db", d / "tags", "--distinct")
     run("pipeline", "-l", d / "samples.tsv", "--genome-list", d / "genomes.tsv", "--outdir", d / "all", "--ko-mapping", d / "ko.tsv", "--control", "ctl", "--resume", "yes")
-    assert [x.split("\t")[6] for x in lines(d / "all/Abundance_Stat.filtered.xls")[1:]] == ["sp0"]
-    assert len(lines(d / "all/Abundance_Stat.all.xls")) == 3 and (d / "all/Abundance_Stat.func.xls").exists()
+    assert [x.split("\t")[6] for x in lines(d / "all/05_merge/Abundance_Stat.filtered.xls")[1:]] == ["sp0"]
+    assert len(lines(d / "all/05_merge/Abundance_Stat.all.xls")) == 3 and (d / "all/05_merge/Abundance_Stat.func.xls").exists()
     with pytest.raises(ValueError, match="either a list or inputs"):
         run("extract", "-t", 1, "-s", "BcgI", "--od", d / "no")
     with pytest.raises(ValueError, match="enzyme file or a folder"):
@@ -100,9 +102,77 @@ def test_single_tag_reads(spark, tmp_path):
     assert lines(tmp_path / "s.BslFI.stat.tsv")[1] == "s\tBslFI\t2\t1\t1\t50.00%"
 
 
-def test_inspect_prints_every_row(spark, capsys, monkeypatch):
+def test_pipeline_in_two_parts(spark, study, caplog):
+    """A database made by ``db-only`` serves ``sample-only`` in another folder, as does each other source of digests; all give what ``full`` gives."""
+    d = study
+    run = lambda *a: cli.main([str(x) for x in a], spark)
+    common = ["--site", "BcgI", "--level", "species", "--gscore", 5, "--threads", 4, "--pc", 8, "--min-qual", 15, "--resume", "no", "--prefix", "x", "--ko-mapping", d / "ko.tsv"]
+    run("pipeline", "--mode", "db-only", "--genome-list", d / "paths.tsv", "--taxonomy", d / "genomes.tsv", "--outdir", d / "p/db", *common)
+    assert sorted(p.name for p in (d / "p/db/02_db_qual").iterdir()) == ["BcgI.enzyme.iibdb", "BcgI.species.iibdb", cli.CLASSIFICATION]
+    (d / "more.tsv").write_text((d / "samples.tsv").read_text() + f"gone\t{d}/none_1.fq.gz\t{d}/none_2.fq.gz\n")
+    with caplog.at_level("WARNING", "markerloom"):
+        run("pipeline", "--mode", "sample-only", "--samples", d / "more.tsv", "--database", d / "p/db/02_db_qual", "--outdir", d / "p/samples", *common)
+    assert "sample gone is left out" in caplog.text
+    run("pipeline", "--samples", d / "samples.tsv", "--genome-list", d / "genomes.tsv", "--outdir", d / "p/full", *common)
+    run("extract", "-l", d / "paths.tsv", "-t", 1, "-s", "BcgI", "--od", d / "p/digest")
+    run("pipeline", "--samples", d / "samples.tsv", "--taxonomy", d / "genomes.tsv", "--pre-digested-dir", d / "p/digest", "--outdir", d / "p/pre", *common)
+    run("pipeline", "--samples", d / "samples.tsv", "--taxonomy", d / "genomes.tsv", "-e", d / "p/db/02_db_qual/BcgI.enzyme.iibdb", "--outdir", d / "p/e", *common)
+    want = {n: lines(d / "p/full" / n) for n in ("05_merge/x.all.xls", "05_merge/x.filtered.xls", "05_merge/x.func.xls", "04_quantify/s1/s1/s1.BcgI.xls", "qualitative/s2/s2.BcgI.xls")}
+    assert want["05_merge/x.all.xls"][0].split("\t")[-3:] == ["s1", "s2", "ctl"] and len(want["05_merge/x.all.xls"]) == 3
+    assert want["04_quantify/s1/s1/s1.BcgI.xls"][0] == f"#{cli._header('species')}\t{cli.METRICS}" and len(want["qualitative/s2/s2.BcgI.xls"]) == 3
+    for other in ("samples", "pre", "e"):
+        assert {n: lines(d / "p" / other / n) for n in want} == want, other
+    for bad, message in (([], "list of samples"), (["--samples", d / "samples.tsv"], "give lineages"), (["--samples", d / "samples.tsv", "--taxonomy", d / "genomes.tsv", "--use-pear", "yes"], "merge them first")):
+        with pytest.raises(ValueError, match=message):
+            run("pipeline", "--outdir", d / "p/no", *bad)
+    (d / "none.tsv").write_text("gone\t/nowhere/x.fq\n")
+    with pytest.raises(ValueError, match="none of the files"):
+        run("extract", "-l", d / "none.tsv", "-t", 2, "-s", "BcgI", "--od", d / "no")
+
+
+def test_classify_keeps_rows_and_adds_labels(spark, tmp_path, monkeypatch):
+    rows = ["k\ta\t10.00000000\t5\t50.00000000%\t20\t2.00000000\t4.00000000\t3\t10.00000000", "k\tb\t8.00000000\t0\t0.00000000%\t0\t0.00000000\t0.00000000\t0\t0.00000000"]
+    (tmp_path / "in.xls").write_text(f"#Kingdom\tPhylum\t{cli.METRICS}\n" + "\n".join(rows) + "\n")
+    (tmp_path / "m.onnx").write_bytes(b"model")
+    seen = []
+
+    def predict(df, model):
+        seen.append((model, [c for c in features.NAMES if c in df.columns]))
+        return df.withColumn("prediction", (F.col("sequenced_reads_num") > 0).cast("long"))
+
+    monkeypatch.setattr(features, "predict_presence", predict)
+    cli.main(["classify", "-i", str(tmp_path / "in.xls"), "-m", str(tmp_path / "m.onnx"), "-o", str(tmp_path / "out.xls")], spark)
+    assert lines(tmp_path / "out.xls") == [f"#Kingdom\tPhylum\t{cli.METRICS}\tPrediction", rows[0] + "\t1", rows[1] + "\t0"]
+    assert seen == [(b"model", list(features.NAMES))]
+
+
+def test_convert_lineages(spark, tmp_path, caplog):
+    good = "d__D;p__P;c__C;o__O;f__F;g__G;s__S t"
+    (tmp_path / "in.tsv").write_text(f"accession\tgtdb_taxonomy\nGCF_000000001.1_x\t{good}\n# note\nGCF_000000002.1\td__D;p__P\nGCA_000000003.2\t{good};t__own\nlone\n")
+    with caplog.at_level("WARNING", "markerloom"):
+        cli.main(["convert-lineages", "-i", str(tmp_path / "in.tsv"), "-o", str(tmp_path / "out")], spark)
+    with gzip.open(tmp_path / "out" / cli.CLASSIFICATION, "rt") as f:
+        assert f.read().splitlines() == ["GCA_000000003.2\tD\tP\tC\tO\tF\tG\tS t\tS t GCA_000000003.2", "GCF_000000001.1\tD\tP\tC\tO\tF\tG\tS t\tS t GCF_000000001.1"]
+    assert "GCF_000000002.1\td__D;p__P" in caplog.text and "lone" not in caplog.text
+
+
+def test_inspect_reports_every_row(spark, tmp_path, monkeypatch):
     rows = spark.range(10_050).selectExpr("concat('f', id) AS file")
     monkeypatch.setattr(cli.collections, "describe_files", lambda *_: (rows, rows.selectExpr("file", "'bad' AS error")))
-    cli.inspect_files(spark, argparse.Namespace(files=["x"], full=False, distinct=False))
-    out = capsys.readouterr().out
-    assert out.count("|f") == 2 * (10_050 + 1) and "only showing" not in out
+    cli.inspect_files(spark, argparse.Namespace(files=["x"], full=False, distinct=False, records=0, top=0, out_file=str(tmp_path / "r.tsv")))
+    assert len(lines(tmp_path / "r.tsv")) == 2 * 10_050 + 1
+
+
+def test_inspect_report(spark, tmp_path):
+    db = spark.createDataFrame([(i, "gA" if i % 3 else "gB") for i in range(30)] + [(-1, "gB")], "hash BIGINT, gcf_id STRING").coalesce(1)
+    db.write.format("tagdb").option("path", str(tmp_path / "BcgI.species.iibdb")).mode("append").save()
+    with files.open_output(str(tmp_path / "s.BcgI.iibsp")) as f:
+        f.write(b"".join(tagstream.pack(i, f"r{i}_tag1") for i in range(4)))
+    (tmp_path / "broken.iibdb").write_bytes(b"IIBC\x09\x00\x00\x00")
+    report = lambda *a: (cli.main(["inspect", str(tmp_path), "-o", str(tmp_path / "out.tsv"), *a], spark), [x.split("\t") for x in lines(tmp_path / "out.tsv")])[1]
+    got = report("--full", "-n", "2", "-t", "1")
+    assert [x[0] for x in got] == ["file", *[str(tmp_path / n) for n in ("BcgI.species.iibdb", "s.BcgI.iibsp")], "error", "record", "record", "record", "record", "genome", "genome"]
+    assert got[-2][2:] == ["1", "gA", "20"] and got[-1][2:] == ["1", "r0_tag1", "1"] and got[6][2:] == ["1", "0", "r0_tag1"]
+    plain = report("-n", "0")
+    assert [x for x in plain if x[0] == "genome"] == [["genome", str(tmp_path / "BcgI.species.iibdb"), "1", "gB", ""], ["genome", str(tmp_path / "BcgI.species.iibdb"), "2", "gA", ""]]
+    assert not [x for x in plain if x[0] == "record"]
