@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,11 +31,15 @@ def pivot(long: DataFrame, samples: Sequence[str], row: str = "taxon") -> DataFr
     return wide.where(F.greatest(*[F.col(f"`{s}`") for s in samples], F.lit(0.0)) > 0) if samples else wide
 
 
-def without_contamination(long: DataFrame, controls: str | Sequence[str] | None, mocks: str | Sequence[str] | None = None) -> DataFrame:
-    """Drops control and mock samples, and every taxon that any control has."""
-    controls, mocks = names(controls), names(mocks)
-    tainted = long.where(F.col("sample").isin(controls) & (F.col("value") > 0)).select("taxon").distinct()
-    return long.where(~F.col("sample").isin([*controls, *mocks])).join(tainted, "taxon", "left_anti")
+def _is_one_of(samples: str | Sequence[str] | Column | None) -> Column:
+    return samples if isinstance(samples, Column) else F.col("sample").isin(names(samples))
+
+
+def without_contamination(long: DataFrame, controls: str | Sequence[str] | Column | None, mocks: str | Sequence[str] | Column | None = None) -> DataFrame:
+    """Drops control and mock samples, given by name or by a condition on ``sample``, and every taxon that any control has."""
+    is_control, is_mock = _is_one_of(controls), _is_one_of(mocks)
+    tainted = long.where(is_control & (F.col("value") > 0)).select("taxon").distinct()
+    return long.where(~is_control & ~is_mock).join(tainted, "taxon", "left_anti")
 
 
 def unpivot(wide: DataFrame, keys: Sequence[str], name: str, value: str = "value") -> DataFrame:

@@ -72,12 +72,7 @@ def read_tag_ids(spark, d):
 
 
 def revcomp_canonical(spark, d):
-    head = F.upper(F.substring("seq", 1, 40))
-    return _docs(spark, d).select("gcf_id", dna.revcomp(head).alias("other_strand"), dna.canonical(head).alias("canonical"))
-
-
-def revcomp_canonical_whole(spark, d):
-    """Both strands of whole sequences; ``revcomp_canonical`` takes their first 40 letters only."""
+    """Both strands of whole sequences."""
     return _docs(spark, d).select("gcf_id", dna.revcomp("seq").alias("other_strand"), dna.canonical("seq").alias("canonical"))
 
 
@@ -281,12 +276,7 @@ def _lineages(g):
 
 
 def gtdb_parse(spark, d):
-    """Lineages of six to eight ranks made of the genome list's ranks."""
-    return _lineages(table(spark, d, "genome_records").where("gcf_id IS NOT NULL AND size(taxonomy) >= 6 AND NOT exists(taxonomy, x -> x IS NULL)").select("gcf_id", "taxonomy").distinct())
-
-
-def gtdb_parse_all(spark, d):
-    """The same of every lineage of at least one rank; a null rank is written as an empty one (``g__``)."""
+    """Lineages of one to eight ranks made of the genome list's ranks; a null rank is written as an empty one (``g__``)."""
     g = table(spark, d, "genome_records").where("gcf_id IS NOT NULL AND size(taxonomy) >= 1").select("gcf_id", F.transform("taxonomy", lambda x: F.coalesce(x, F.lit(""))).alias("taxonomy"))
     return _lineages(g.distinct())
 
@@ -316,10 +306,10 @@ def unsigned_hash_render(spark, d):
 
 
 _NAMED = (
-    enzyme_catalog, digest_all16_counts, digest_first_tag, digest_positions, read_tag_ids, revcomp_canonical, revcomp_canonical_whole, tag_hash_fx, digest_stats, qc_n_fraction, qc_n_absolute, qc_quality_percent,
+    enzyme_catalog, digest_all16_counts, digest_first_tag, digest_positions, read_tag_ids, revcomp_canonical, tag_hash_fx, digest_stats, qc_n_fraction, qc_n_absolute, qc_quality_percent,
     marker_species, marker_kingdom, marker_all_levels, marker_keep_redundant, marker_genome_coverage, theory_taxon, theory_gcf, tag_depth, abundance_full, abundance_filtered, gcf_detected, find_genome,
     multi_enzyme_union, multi_enzyme_combine, quan_markers_per_sample, abundance_quantitative, merge_long, merge_pivot, merge_filtered, predict_long, predict_pivot, predict_matched, classify_features,
-    inspect_counts, inspect_top_genomes, inspect_preview, stream_kind, gtdb_parse, gtdb_parse_all, gcf_id_normalise, taxon_levels, split_record_id, file_sizes, unsigned_hash_render,
+    inspect_counts, inspect_top_genomes, inspect_preview, stream_kind, gtdb_parse, gcf_id_normalise, taxon_levels, split_record_id, file_sizes, unsigned_hash_render,
 )
 QUERIES = {f"digest_{e.name.lower()}": _digest_query(e.name) for e in ENZYMES} | {f.__name__: f for f in _NAMED}
 
@@ -391,8 +381,7 @@ SQL = {f"digest_{e.name.lower()}": _cutting(e.name) + " SELECT gcf_id, enzyme, t
       SELECT gcf_id, 'BslFI' AS enzyme, least(w, {_REV.format("w")}) AS tag FROM X WHERE w IS NOT NULL""",
     "digest_positions": _ONE + " SELECT gcf_id, enzyme, pos AS pos0, pos + 1 AS pos1, tag FROM D",
     "read_tag_ids": _cutting("AlfI") + " SELECT sample, gcf_id || '_tag' || row_number() OVER (PARTITION BY gcf_id ORDER BY pos) AS tag_id, enzyme, tag FROM D",
-    "revcomp_canonical": f"WITH {_S} SELECT gcf_id, {_REV.format('substr(seq, 1, 40)')} AS other_strand, least(substr(seq, 1, 40), {_REV.format('substr(seq, 1, 40)')}) AS canonical FROM S",
-    "revcomp_canonical_whole": f"WITH {_S} SELECT gcf_id, {_REV.format('seq')} AS other_strand, least(seq, {_REV.format('seq')}) AS canonical FROM S",
+    "revcomp_canonical": f"WITH {_S} SELECT gcf_id, {_REV.format('seq')} AS other_strand, least(seq, {_REV.format('seq')}) AS canonical FROM S",
     "tag_hash_fx": _HASH,
     "digest_stats": _ONE + """, B AS (SELECT sample, count(*) AS c FROM D GROUP BY 1) SELECT sample, 'BcgI' AS enzyme, n AS input_sequences, coalesce(c, 0) AS tag_count, printf('%.2f%%', coalesce(c, 0) * 100.0 / n) AS percent
       FROM (SELECT sample, count(*) AS n FROM S GROUP BY 1) LEFT JOIN B USING (sample)""",
@@ -432,10 +421,11 @@ SQL = {f"digest_{e.name.lower()}": _cutting(e.name) + " SELECT gcf_id, enzyme, t
     "inspect_top_genomes": _ONE + " SELECT gcf_id, count(*) AS n_records FROM D GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "inspect_preview": _ONE + " SELECT gcf_id, tag FROM D ORDER BY tag, gcf_id LIMIT 5",
     "stream_kind": """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'reads' WHEN 1 THEN 'positions' ELSE CASE WHEN p_partkey % 2 = 0 THEN 'digest' ELSE 'contigs' END END AS kind, CASE WHEN p_partkey % 2 = 0 THEN 'GCF_1' ELSE 'chr:5' END AS grp FROM part""",
-    "gtdb_parse": """WITH g AS (SELECT DISTINCT gcf_id, taxonomy AS t FROM genome_records WHERE gcf_id IS NOT NULL AND len(taxonomy) >= 6 AND len(list_filter(taxonomy, lambda x: x IS NULL)) = 0),
-      l AS (SELECT gcf_id, t, array_to_string([substr('dpcofgst', i, 1) || '__' || t[i] FOR i IN range(1, len(t) + 1)], ';') AS lineage, CASE WHEN len(t) = 6 THEN list_append(t, t[6] || '_strain') ELSE t END AS p, list_append(t[1:6], t[6] || '_strain') AS c FROM g)
-      SELECT gcf_id, lineage, array_to_string(CASE WHEN len(p) = 7 THEN list_append(p, p[7] || ' ' || gcf_id) ELSE p END, '|') AS ranks, array_to_string(list_append(c, c[7] || ' ' || gcf_id), '|') AS filled,
-        CASE WHEN len(t) >= 7 THEN array_to_string(list_append(t[1:7], t[7] || ' ' || gcf_id), '|') ELSE '' END AS strict_ranks FROM l""",
+    "gtdb_parse": """WITH g AS (SELECT DISTINCT gcf_id, list_transform(taxonomy, lambda x: coalesce(x, '')) AS t FROM genome_records WHERE gcf_id IS NOT NULL AND len(taxonomy) >= 1),
+      h AS (SELECT *, t[1:6] AS c, [x FOR x IN t IF trim(x) <> ''] AS w FROM g),
+      l AS (SELECT *, list_concat(t, [t[-1] || repeat('_strain', i) FOR i IN range(1, 8 - len(t))]) AS p, list_concat(c, [c[-1] || repeat('_strain', i) FOR i IN range(1, 8 - len(c))]) AS f FROM h)
+      SELECT gcf_id, array_to_string([substr('dpcofgst', i, 1) || '__' || t[i] FOR i IN range(1, len(t) + 1)], ';') AS lineage, array_to_string(CASE WHEN len(p) = 7 THEN list_append(p, p[7] || ' ' || gcf_id) ELSE p END, '|') AS ranks,
+        array_to_string(list_append(f, f[7] || ' ' || gcf_id), '|') AS filled, CASE WHEN len(w) >= 7 THEN array_to_string(list_append(w[1:7], w[7] || ' ' || gcf_id), '|') ELSE '' END AS strict_ranks FROM l""",
     "gcf_id_normalise": """SELECT genome_path, CASE WHEN b LIKE 'GCF\\_%' ESCAPE '\\' OR b LIKE 'GCA\\_%' ESCAPE '\\' THEN split_part(b, '_', 1) || '_' || split_part(b, '_', 2) ELSE b END AS gcf_id
       FROM (SELECT DISTINCT genome_path, split_part(split_part(genome_path, '/', -1), '_genomic', 1) AS b FROM genome_records WHERE genome_path IS NOT NULL)""",
     "taxon_levels": "SELECT gcf_id, " + ", ".join(f"CASE WHEN len(taxonomy) >= {k} AND len(list_filter(taxonomy[1:{k}], lambda x: x IS NULL)) = 0 THEN array_to_string(taxonomy[1:{k}], chr(9)) END AS at_{tx.RANKS[k - 1]}" for k in (1, 6, 7, 8)) + " FROM (SELECT DISTINCT gcf_id, taxonomy FROM genome_records WHERE gcf_id IS NOT NULL)",

@@ -109,9 +109,10 @@ def merged_samples(spark, d):
     ratio = F.coalesce(F.try_divide(F.col("sequenced_reads_num").cast("double"), F.col("theoretical_tag_num")), F.lit(0.0))
     per = last.groupBy("sample", "taxon").agg(F.sum(ratio).alias("reads_per_theoretical"))
     long = matrix.normalise(per)
-    tainted = long.where(F.col("sample").startswith("ctl-") & (F.col("value") > 0)).groupBy("taxon").agg(F.max("value").alias("in_controls"))
-    kept = long.where(~F.col("sample").startswith("ctl-")).join(tainted, "taxon", "left")
-    return kept.select("taxon", "sample", F.round("value", 6).alias("value"), F.col("in_controls").isNotNull().alias("contaminated"))
+    is_control = F.col("sample").startswith("ctl-")
+    clean = matrix.without_contamination(long, is_control).select("taxon", "sample", F.lit(True).alias("clean"))
+    all_samples = long.where(~is_control).join(clean, ["taxon", "sample"], "left")
+    return all_samples.select("taxon", "sample", F.round("value", 6).alias("value"), F.col("clean").isNull().alias("contaminated"))
 
 
 QUERIES = {f.__name__: f for f in (marker_tpch, abundance_tpch, gscore_tpch, merge_tpch_pivot, predict_tpch, database_markers, database_theory, sample_tag_depth, merged_samples)}

@@ -6,13 +6,14 @@ import atexit
 import tempfile
 import uuid
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only when its counted rows stay below this bound; the rows are narrow (keys and a few numbers).
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only when its counted rows and their bytes stay below these bounds.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -70,9 +71,21 @@ def clean(spark: SparkSession) -> None:
             _written.remove((own, path))
 
 
+def _width(field: T.StructField) -> Column:
+    """Bytes of a value, about: of text, bytes and arrays by their length."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(field.dataType, T.ArrayType):
+        return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) * 16 + 8
+    return F.lit(8)
+
+
 def sized_broadcast(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if a count proves the side small; otherwise leave the join to a shuffle (adaptive skew splitting applies)."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+    """Hint a broadcast only if its counted rows and bytes prove the side small; otherwise leave the join to a shuffle (adaptive skew splitting applies)."""
+    width = reduce(add, [_width(f) for f in df.schema.fields])
+    n, size = df.limit(bound + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= bound and size <= BROADCAST_BYTES else df
 
 
 def present(df: DataFrame, *columns: str) -> DataFrame:
