@@ -7,10 +7,12 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..enzymes import Enzyme, enzyme
 from ..functions import dna
+from ..session import present
 
 #: Starts held by one chunk of a long sequence.
 CHUNK = 1 << 20
@@ -18,14 +20,23 @@ CHUNK = 1 << 20
 SINGLE_TAG_READ = 50
 
 
-def digest(seqs: DataFrame, keep: Sequence[str], enzymes: Sequence[str | int], seq: str = "seq") -> DataFrame:
+def digest(seqs: DataFrame, keep: Sequence[str], enzymes: Sequence[str | int], seq: str = "seq", size: int = CHUNK) -> DataFrame:
     """One row (keep, enzyme, tag) for each site on either strand, overlaps included; ``tag`` is canonical.
 
-    Lower-case bases count as upper-case; a window with any other letter gives no tag; null and short sequences give none.
+    Lower-case bases count as upper-case; a window with any other letter gives no tag; null and short sequences give none. A sequence of more
+    than ``size`` letters is cut in overlapping chunks of which each offset starts in exactly one, so that no more is searched at once.
     """
     # All enzymes cut a sequence in one pass over the input.
-    sites = F.array(*[F.struct(F.lit(e.name).alias("enzyme"), dna.windows_of_both("cut_seq", e).alias("ws")) for e in map(enzyme, enzymes)])
-    per = seqs.select(*keep, F.upper(seq).alias("cut_seq")).select(*keep, F.explode(sites).alias("cut"))
+    chosen = [enzyme(x) for x in enzymes]
+    long = F.octet_length("cut_seq") > size
+    starts = F.when(long, F.sequence(F.lit(0), F.floor((F.octet_length("cut_seq") - 1) / size).cast("int"))).otherwise(F.array(F.lit(0)))
+    rows = seqs.select(*keep, F.upper(seq).alias("cut_seq")).withColumn("cut_at", F.explode(starts))
+    chunk = F.when(long, F.substring("cut_seq", F.col("cut_at") * size + 1, F.lit(size + max((e.tag_length for e in chosen), default=1) - 1))).otherwise(F.col("cut_seq"))
+    rows = rows.select(*keep, chunk.alias("cut_seq"))
+    # A shorter window must not start in the part that the next chunk has as well.
+    part = lambda e: F.when(long, F.substring("cut_seq", F.lit(1), F.lit(size + e.tag_length - 1))).otherwise(F.col("cut_seq"))
+    sites = F.array(*[F.struct(F.lit(e.name).alias("enzyme"), dna.windows_of_both(part(e), e).alias("ws")) for e in chosen])
+    per = rows.select(*keep, F.explode(sites).alias("cut"))
     out = per.select(*keep, F.col("cut.enzyme").alias("enzyme"), F.explode("cut.ws").alias("w"))
     return out.select(*keep, "enzyme", dna.canonical("w").alias("tag"))
 
@@ -84,6 +95,20 @@ def digest_positions(seqs: DataFrame, keep: Sequence[str], key: str | int, seq:
     return sites.select(*keep, F.lit(e.name).alias("enzyme"), (F.col("pos") + int(one_based)).alias("pos"), dna.canonical("w").alias("tag"))
 
 
+def numbered_sites(sites: DataFrame, genome: str = "gcf_id", contig: str = "ordinal", pos: str = "pos") -> DataFrame:
+    """Adds ``tag_index``, the running number from 1 of each site of a genome, by contig and position.
+
+    Sites are ordered within their contig only; the contigs' counts, a row each, give what lies before. Sites without genome or contig are left out.
+    """
+    sites = present(sites, genome, contig)
+    counts = sites.groupBy(genome, contig).agg(F.count(F.lit(1)).alias("contig_sites"))
+    before = F.sum("contig_sites").over(W.partitionBy(genome).orderBy(contig).rowsBetween(W.unboundedPreceding, -1))
+    starts = counts.select(genome, contig, F.coalesce(before, F.lit(0)).alias("sites_before"))
+    local = sites.withColumn("site_of_contig", F.row_number().over(W.partitionBy(genome, contig).orderBy(pos)))
+    numbered = local.join(starts, [genome, contig]).withColumn("tag_index", (F.col("sites_before") + F.col("site_of_contig")).cast("bigint"))
+    return numbered.select(*sites.columns, "tag_index")
+
+
 def genome_digest(contigs: DataFrame, key: str | int, genome: str = "gcf_id", header: str = "header", ordinal: str = "ordinal", seq: str = "seq") -> DataFrame:
     """Tags of reference genomes: gcf_id, contig (first word of the header, else ``contig<ordinal>``), pos from 0, tag."""
     word = F.regexp_extract(F.coalesce(header, F.lit("")), r"^\S+", 0)

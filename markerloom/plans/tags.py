@@ -67,6 +67,13 @@ def digest_positions(spark, d):
     return at.select("gcf_id", "enzyme", F.col("pos").alias("pos0"), (F.col("pos") + 1).alias("pos1"), "tag")
 
 
+def digest_tag_index(spark, d):
+    """Sites numbered through each sample, its messages taken as contigs in order of their ids."""
+    docs = _docs(spark, d).select("sample", F.col("gcf_id").cast("bigint").alias("ordinal"), "seq")
+    at = digest.digest_positions(docs, ["sample", "ordinal"], "BcgI", one_based=True)
+    return digest.numbered_sites(at, "sample").select("sample", "ordinal", F.col("pos").alias("pos1"), "tag_index", "tag")
+
+
 def read_tag_ids(spark, d):
     return digest.read_tags(_docs(spark, d), ["sample"], "gcf_id", "AlfI")
 
@@ -306,7 +313,7 @@ def unsigned_hash_render(spark, d):
 
 
 _NAMED = (
-    enzyme_catalog, digest_all16_counts, digest_first_tag, digest_positions, read_tag_ids, revcomp_canonical, tag_hash_fx, digest_stats, qc_n_fraction, qc_n_absolute, qc_quality_percent,
+    enzyme_catalog, digest_all16_counts, digest_first_tag, digest_positions, digest_tag_index, read_tag_ids, revcomp_canonical, tag_hash_fx, digest_stats, qc_n_fraction, qc_n_absolute, qc_quality_percent,
     marker_species, marker_kingdom, marker_all_levels, marker_keep_redundant, marker_genome_coverage, theory_taxon, theory_gcf, tag_depth, abundance_full, abundance_filtered, gcf_detected, find_genome,
     multi_enzyme_union, multi_enzyme_combine, quan_markers_per_sample, abundance_quantitative, merge_long, merge_pivot, merge_filtered, predict_long, predict_pivot, predict_matched, classify_features,
     inspect_counts, inspect_top_genomes, inspect_preview, stream_kind, gtdb_parse, gcf_id_normalise, taxon_levels, split_record_id, file_sizes, unsigned_hash_render,
@@ -379,6 +386,7 @@ SQL = {f"digest_{e.name.lower()}": _cutting(e.name) + " SELECT gcf_id, enzyme, t
     "digest_all16_counts": _cutting(*[e.name for e in ENZYMES]) + ", N AS (SELECT unnest([" + ", ".join(f"'{e.name}'" for e in ENZYMES) + "]) AS enzyme) SELECT enzyme, count(tag) AS n_tags FROM N LEFT JOIN D USING (enzyme) GROUP BY 1",
     "digest_first_tag": f"""WITH {_S}, X AS (SELECT gcf_id, coalesce(nullif(regexp_extract(substr(seq, 1, 50), '{enzyme("BslFI").forward}'), ''), nullif(regexp_extract(substr(seq, 1, 50), '{enzyme("BslFI").reverse}'), '')) AS w FROM S)
       SELECT gcf_id, 'BslFI' AS enzyme, least(w, {_REV.format("w")}) AS tag FROM X WHERE w IS NOT NULL""",
+    "digest_tag_index": _ONE + " SELECT sample, gcf_id::BIGINT AS ordinal, pos + 1 AS pos1, row_number() OVER (PARTITION BY sample ORDER BY gcf_id::BIGINT, pos) AS tag_index, tag FROM D",
     "digest_positions": _ONE + " SELECT gcf_id, enzyme, pos AS pos0, pos + 1 AS pos1, tag FROM D",
     "read_tag_ids": _cutting("AlfI") + " SELECT sample, gcf_id || '_tag' || row_number() OVER (PARTITION BY gcf_id ORDER BY pos) AS tag_id, enzyme, tag FROM D",
     "revcomp_canonical": f"WITH {_S} SELECT gcf_id, {_REV.format('seq')} AS other_strand, least(seq, {_REV.format('seq')}) AS canonical FROM S",

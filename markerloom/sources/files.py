@@ -37,16 +37,27 @@ def exists(path: str) -> bool:
     return system.get_file_info(inner).type != fs.FileType.NotFound
 
 
-def open_input(path: str):
-    """A readable binary stream, decompressed by what the file starts with."""
+def size(path: str) -> int:
+    system, inner = locate(path)
+    return system.get_file_info(inner).size
+
+
+def compression(path: str) -> str | None:
+    """How a file is compressed, by what it starts with."""
     system, inner = locate(path)
     with system.open_input_stream(inner, compression=None) as probe:
         magic = bytes(probe.read(5))
-    kind = "zstd" if magic[:4] == ZSTD_MAGIC else "gzip" if magic[:2] == GZIP_MAGIC else "bz2" if magic[:3] == BZIP_MAGIC else None
+    return "zstd" if magic[:4] == ZSTD_MAGIC else "gzip" if magic[:2] == GZIP_MAGIC else "bz2" if magic[:3] == BZIP_MAGIC else "xz" if magic == XZ_MAGIC else None
+
+
+def open_input(path: str):
+    """A readable binary stream, decompressed by what the file starts with."""
+    kind = compression(path)
+    system, inner = locate(path)
     raw = system.open_input_stream(inner, compression=None)
-    if magic == XZ_MAGIC:
+    if kind == "xz":
         return lzma.open(pa.PythonFile(raw, mode="r"))
-    return io.BufferedReader(pa.PythonFile(pa.CompressedInputStream(raw, kind), mode="r"), 1 << 20) if kind else io.BufferedReader(pa.PythonFile(raw, mode="r"), 1 << 20)
+    return io.BufferedReader(pa.PythonFile(pa.CompressedInputStream(raw, kind) if kind else raw, mode="r"), 1 << 20)
 
 
 def open_output(path: str, compression: str | None = None):

@@ -55,6 +55,24 @@ def test_every_enzyme_against_brute_force(spark):
         assert [r["pos"] for r in at] == [i for i, _ in want]
 
 
+def test_chunks_of_long_sequences_give_each_site_once(spark):
+    """All enzymes in one pass over chunks of 64 letters: windows of different lengths at every border."""
+    rng = np.random.default_rng(8)
+    seq = "".join(planted(e, rng) for e in ENZYMES) + "é" + planted(ENZYMES[4], rng)
+    df = spark.createDataFrame([("long", seq), ("short", seq[:50]), ("none", None)], "name STRING, seq STRING")
+    names = [e.name for e in ENZYMES]
+    count = lambda rows: sorted((r["name"], r["enzyme"], r["tag"]) for r in rows)
+    whole = count(digest.digest(df, ["name"], names).collect())
+    assert len(whole) > 96 and count(digest.digest(df, ["name"], names, size=64).collect()) == whole
+    assert sum(n == "long" and e == "BcgI" for n, e, _ in whole) == len(brute_windows(seq.upper(), ENZYMES[4]))
+
+
+def test_sites_are_numbered_through_a_genome(spark):
+    sites = spark.createDataFrame([("g", 1, 9), ("g", 1, 3), ("g", 4, 1), ("h", 2, 5), ("g", 2, 0), (None, 1, 1), ("g", None, 1)], "gcf_id STRING, ordinal INT, pos INT").withColumn("n", F.lit(1))
+    got = {(r["gcf_id"], r["ordinal"], r["pos"]): r["tag_index"] for r in digest.numbered_sites(sites).collect()}
+    assert got == {("g", 1, 3): 1, ("g", 1, 9): 2, ("g", 2, 0): 3, ("g", 4, 1): 4, ("h", 2, 5): 1}
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.text(alphabet="ACGTNacgt", max_size=90))
 def test_canonical_of_either_strand_is_equal(spark_text):

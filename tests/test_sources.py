@@ -1,5 +1,7 @@
 import gzip
 import json
+import lzma
+import random
 import struct
 
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from markerloom.functions.dna import ReadQuality
 from markerloom.operators import digest, features, matrix, profile
 from markerloom.plans import pipeline
-from markerloom.sources import collections, fastx, files, tables, tagdb, tagstream
+from markerloom.sources import collections, fastx, files, sample_files, tables, tagdb, tagstream
 from markerloom.streaming import tag_counts
 
 
@@ -240,3 +242,52 @@ def test_selected_lineages(spark):
     selected = spark.createDataFrame([("s", "g2"), ("s", "g1"), ("s", "g1"), ("t", "g9")], "sample STRING, gcf_id STRING")
     genomes = spark.createDataFrame([("g1", ["a"]), ("g2", ["b"])], "gcf_id STRING, taxonomy ARRAY<STRING>")
     assert [tuple(r) for r in profile.selected_lineages(selected, genomes).collect()] == [("s", "g1", ["a"]), ("s", "g2", ["b"])]
+
+
+@pytest.mark.parametrize("kind", ["fasta", "fastq"])
+@pytest.mark.parametrize("split", [7, 64, 1000])
+def test_plain_files_in_many_parts(spark, tmp_path, kind, split):
+    """Every record comes once, in its order, wherever the parts begin; qualities may look like headers."""
+    fastx.register(spark)
+    r = random.Random(split)
+    records, text = [], "\n" if kind == "fasta" else ""
+    for i in range(120):
+        seq = "".join(r.choice("ACGTN") for _ in range(r.randrange(0, 60)))
+        if kind == "fasta":
+            records.append((f"c{i} >x", seq, None))
+            text += f">c{i} >x\n" + "".join(seq[k : k + 25] + "\r\n" for k in range(0, len(seq), 25))
+        else:
+            quality = "".join(r.choice("@+>I") for _ in seq)
+            records.append((f"r{i}", seq, quality))
+            text += f"@r{i}\n{seq}\n+\n{quality}\n"
+    path = tmp_path / f"x.{kind}"
+    path.write_bytes(text.encode())
+    df = spark.read.format("fastx").option("path", str(path)).option("split", split).load()
+    got = sorted(df.collect(), key=lambda x: x["ordinal"])
+    assert [(x["header"], x["seq"], x["qual"]) for x in got] == records
+    assert df.select(F.spark_partition_id()).distinct().count() > 3
+    assert [x["ordinal"] for x in got] == [text.index(("@" if kind == "fastq" else ">") + h) + 1 for h, *_ in records]
+
+
+def test_broken_records_in_parts_raise(spark, tmp_path):
+    fastx.register(spark)
+    (tmp_path / "x.fq").write_text("".join(f"@r{i}\nACGT\n+\nIIII\n" for i in range(20)) + "@bad\nACGT\n+\nII\n" + "".join(f"@s{i}\nACGT\n+\nIIII\n" for i in range(20)))
+    with pytest.raises(Exception, match="broken FASTQ record"):
+        spark.read.format("fastx").option("path", str(tmp_path / "x.fq")).option("split", 300).load().collect()
+
+
+def test_xz_input(spark, tmp_path):
+    fastx.register(spark)
+    with lzma.open(tmp_path / "x.fa.xz", "wt") as f:
+        f.write(">a\nAC\nGT\n")
+    assert [tuple(r)[1:] for r in spark.read.format("fastx").option("path", str(tmp_path)).load().collect()] == [(1, "a", "ACGT", None)]
+
+
+def test_files_of_owners_replace_older_ones_and_leave_nothing_beside(spark, tmp_path):
+    rows = spark.createDataFrame([(f"s{i % 3}", i, f"id{i}") for i in range(30)], "sample STRING, hash BIGINT, id STRING")
+    for _ in range(2):
+        done = sample_files.write_streams(rows, "sample", str(tmp_path), ".BcgI.iibsp", ["hash"]).collect()
+        assert sorted(r["n_records"] for r in done) == [10, 10, 10]
+    assert sorted(p.name for p in tmp_path.iterdir()) == [f"s{i}.BcgI.iibsp" for i in range(3)]
+    sample_files.write_tables(rows.withColumn("line", F.col("id")), F.concat(F.lit(f"{tmp_path}/t/"), F.col("sample"), F.lit(".tsv")), ["hash"], "#head").count()
+    assert (tmp_path / "t/s1.tsv").read_text().splitlines() == ["#head", *[f"id{i}" for i in range(1, 30, 3)]]
