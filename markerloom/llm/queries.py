@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import present, table
+from ..session import materialize, present, table
 from . import distinct, mixing, overlap, packing, spam, topn
 
 
@@ -173,6 +173,18 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.container_fill(packing.pack(table(spark, d, "documents"), capacity), capacity)
 
 
+def p7_packing_check(spark: SparkSession, d: str) -> DataFrame:
+    """One row: documents packed, containers over the capacity, documents cut although they fit, and whether there are at most 1 % more containers than the tokens need."""
+    capacity = _capacity(spark, d)
+    packed = materialize(packing.pack(table(spark, d, "documents"), capacity), "packed")
+    none = F.lit(0).cast("bigint")
+    pieces = packed.agg(F.count_if(F.col("piece") == 0).alias("n_docs"), F.count_if((F.col("piece") > 0) & (F.col("token_from") != F.col("piece") * capacity)).alias("cut_needlessly"))
+    fill = packing.container_fill(packed, capacity).agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"), F.count_if(F.col("tokens") > capacity).alias("over_full"))
+    rows = pieces.select("n_docs", "cut_needlessly", none.alias("n"), none.alias("tokens"), none.alias("over_full")).unionByName(fill.withColumns({"n_docs": none, "cut_needlessly": none}))
+    total = rows.agg(*[F.coalesce(F.sum(c), none).alias(c) for c in rows.columns])
+    return total.select("n_docs", "over_full", "cut_needlessly", (F.col("n") <= F.ceil(F.col("tokens") / capacity) * 1.01 + 1).alias("dense"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     report = mixing.mix_report(mixing.measure(table(spark, d, "documents")), table(spark, d, "mix_targets"))
     return report.where("short").select("source")
@@ -186,6 +198,17 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(mixing.measure(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
 
+def p8_shares_check(spark: SparkSession, d: str) -> DataFrame:
+    """For each target source whether it falls short, and whether the mix is as wanted: all it has, ``max_repeats`` times, if it does, else its budget to within its longest document."""
+    counted = mixing.measure(table(spark, d, "documents"))
+    report = mixing.mix_report(counted, table(spark, d, "mix_targets"))
+    longest = counted.groupBy("source").agg(F.max("tokens").alias("longest"))
+    whole = F.col("mix_tokens") == F.col("max_repeats") * F.col("source_tokens")
+    near = F.abs(F.col("mix_tokens") - F.col("budget_tokens")) <= F.coalesce("longest", F.lit(0))
+    wanted = F.when(F.col("short"), whole).otherwise(near) & (F.col("epochs") <= F.col("max_repeats"))
+    return report.join(longest, "source", "left").select("source", "target_share", "max_repeats", "short", wanted.alias("as_wanted"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_messages(table(spark, d, "documents"))
 
@@ -195,4 +218,4 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam.score_messages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_overlap_sizes, p1_estimates, p1_estimates_check, p4_found, p4_top_scores, p6_found, p6_distinct_tags, p6_distinct_genomes, p6_day_overlap, p6_distinct_tags_check, p6_distinct_genomes_check, p6_day_overlap_check, p7_found, p7_containers, p7_fill, p8_found, p8_mix, p8_shares, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_overlap_sizes, p1_estimates, p1_estimates_check, p4_found, p4_top_scores, p6_found, p6_distinct_tags, p6_distinct_genomes, p6_day_overlap, p6_distinct_tags_check, p6_distinct_genomes_check, p6_day_overlap_check, p7_found, p7_containers, p7_fill, p7_packing_check, p8_found, p8_mix, p8_shares, p8_shares_check, p9_found, p9_scores)}

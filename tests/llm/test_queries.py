@@ -14,7 +14,7 @@ def test_query_equals_sql(spark, sf, name):
     assert verify.rows(df.columns, df.collect()) == verify.rows(columns, r.fetchall())
 
 
-@pytest.mark.parametrize("name", ["p6_distinct_tags", "p6_distinct_genomes", "p6_day_overlap", "p1_estimates", "p7_found", "p7_fill", "p8_found", "p8_shares", "p9_found", "p9_scores"])
+@pytest.mark.parametrize("name", ["p6_distinct_tags", "p6_distinct_genomes", "p6_day_overlap", "p1_estimates", "p7_containers", "p7_fill", "p8_mix", "p8_shares", "p9_found", "p9_scores"])
 def test_query_runs(spark, sf, name):
     df = queries.QUERIES[name](spark, sf)
     assert df.columns and df.count() >= 0
