@@ -58,7 +58,7 @@ SELECT strftime(n.d, '%Y-%m-%d') AS cell_day, coalesce(c, 0) AS shared, true AS
 """
 
 # SQL can't count tokens; letters take their place where nothing lies near the bound. Cases of p7 have more than 37,000 letters for 8,192 tokens and all other
-# documents fewer than 7,900; a short source of p8 has at most a quarter of what it needs, any other more than three times as much.
+# documents fewer than 7,900; a short source of p8 has at most a quarter of what it needs, any other more than three times as much (from sf0.01 on).
 P7_FOUND = "SELECT DISTINCT doc_id FROM documents, containers WHERE length(text) > 2 * capacity_tokens"
 P7_PACKING_CHECK = "SELECT count(*) AS n_docs, 0::BIGINT AS over_full, 0::BIGINT AS cut_needlessly, true AS dense FROM documents"
 _P8 = """

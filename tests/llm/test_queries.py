@@ -7,6 +7,8 @@ from markerloom.llm import queries, sql
 
 @pytest.mark.parametrize("name", sorted(sql.SQL))
 def test_query_equals_sql(spark, sf, name):
+    if name.startswith("p8"):  # letters stand for tokens there, which a hundred documents are too few for
+        sf = sf.replace("0.001", "0.01")
     df = queries.QUERIES[name](spark, sf)
     r = verify.views(sf).execute(sql.SQL[name])
     columns = [x[0] for x in r.description]
