@@ -4,7 +4,7 @@ Score and identifier become one order-preserving BIGINT code, so ties are decide
 range that still holds a group's cutoff into ``fanout`` slices and counts the rows of every slice, for all groups in one
 aggregation (``fanout = 2`` is plain bisection); the slice in which the N-th row lies is the next range. The first round has one
 range for all groups and joins nothing; a later round reads only the rows that lay within their group's range the round before,
-so the rows shrink as the ranges do. No group is ever sorted or gathered: a task holds counts, and what is ranked at the end is
+so the rows shrink as the ranges do, and a range of no more rows than slices is told apart row by row. No group is ever sorted or gathered: a task holds counts, and what is ranked at the end is
 N rows of a group.
 """
 
@@ -78,8 +78,9 @@ def cutoffs(codes: DataFrame, groups: Sequence[str], n: int, fanout: int = 64) -
     groups = list(groups)
     every, down = W.partitionBy(*groups), W.partitionBy(*groups).orderBy(F.desc("slice"))  # over at most fanout rows of a group
 
-    def counted(rows: DataFrame, lo: Column, hi: Column) -> DataFrame:
-        width = F.floor((hi - lo) / fanout).cast("bigint") + 1
+    def counted(rows: DataFrame, lo: Column, hi: Column, few: Column) -> DataFrame:
+        """Rows of every slice; where no more than ``fanout`` rows are left in a range each has a slice of its own."""
+        width = F.when(few, F.lit(1)).otherwise(F.floor((hi - lo) / fanout) + 1).cast("bigint")
         slices = rows.groupBy(*groups, F.call_function("div", F.col("code") - lo, width).alias("slice"))
         return slices.agg(F.min("code").alias("s_lo"), F.max("code").alias("s_hi"), F.count(F.lit(1)).alias("c"), F.first("above").alias("above"), F.first("size").alias("size"))
 
@@ -92,7 +93,7 @@ def cutoffs(codes: DataFrame, groups: Sequence[str], n: int, fanout: int = 64) -
 
     ends = codes.agg(F.min("code").alias("lo"), F.max("code").alias("hi")).first()
     zero = F.lit(0).cast("bigint")
-    state = next_state(counted(codes.withColumn("above", zero).withColumn("size", F.lit(None).cast("bigint")), F.lit(ends["lo"] or 0), F.lit(ends["hi"] or 0)))
+    state = next_state(counted(codes.withColumn("above", zero).withColumn("size", F.lit(None).cast("bigint")), F.lit(ends["lo"] or 0), F.lit(ends["hi"] or 0), F.lit(False)))
     rows, found = codes.select(*groups, "code"), None
     while True:
         settled = (F.col("above") + F.col("inside") <= n) | (F.col("lo") == F.col("hi"))
@@ -101,10 +102,10 @@ def cutoffs(codes: DataFrame, groups: Sequence[str], n: int, fanout: int = 64) -
         open_ = state.where(~settled)
         if open_.isEmpty():
             return found
-        ranges = open_.select(*groups, "lo", "hi", "above", F.col("size").alias("group_size"), F.col("inside").alias("size"))
+        ranges = open_.select(*groups, "lo", "hi", "above", (F.col("inside") <= fanout).alias("few"), F.col("size").alias("group_size"), F.col("inside").alias("size"))
         inside = _with_cutoffs(rows, ranges, groups).where("code BETWEEN lo AND hi")
         inside = materialize(inside.withColumnRenamed("group_size", "size"), "open-rows")
-        state = next_state(counted(inside, F.col("lo"), F.col("hi")))
+        state = next_state(counted(inside, F.col("lo"), F.col("hi"), F.col("few")))
         rows = inside.select(*groups, "code")
 
 
