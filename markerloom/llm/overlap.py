@@ -2,7 +2,7 @@
 
 A sketch of a set holds, for each of ``2**p`` registers, the largest bit rank of the members hashed to it (a byte each; few
 occupied registers are packed in four bytes each while that is shorter), and the ``k`` members with the smallest values of a
-second hash: at most ``2**p + 8 k`` bytes, 18 KB, for a set of any size. Sketches are built in every task and merged by the
+second hash: at most ``2**p + 8 k`` bytes (18 KB where shares of 0.3 are looked for, 24 KB for 0.1) for a set of any size. Sketches are built in every task and merged by the
 larger register and the smaller values.
 
 Which pairs to estimate is searched with the samples. As the second hash is the same for all sets, the share of a set's sample
@@ -32,7 +32,7 @@ from ..session import materialize, present, sized_broadcast
 
 #: Registers per set, as a power of two.
 PRECISION = 14
-#: Members a set's sample holds.
+#: Members a set's sample holds at least; more where smaller shares are looked for, see :func:`sample_size`.
 SAMPLE = 256
 #: A pair is left out by its sample only if that lies this many standard errors below the share asked for (a miss in some millions).
 SEARCH_ERRORS = 5.0
@@ -358,15 +358,23 @@ def exact_parts(hashed: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.select("kind", "small", "large", "n_small", "n_large", (F.col("n_small") - F.col("shared")).alias("only_small"), (F.col("n_large") - F.col("shared")).alias("only_large"), "shared", F.lit(0.0).alias("shared_error"))
 
 
-def overlap_sizes(members: DataFrame, min_share: float, min_size: float = 1.0, p: int = PRECISION, k: int = SAMPLE) -> DataFrame:
+def sample_size(min_share: float) -> int:
+    """Members a sample must hold so that ``SEARCH_ERRORS`` standard errors are at most six tenths of the matches looked for: else nearly every pair that shares anything would have to be estimated."""
+    needed = (SEARCH_ERRORS / 0.6) ** 2 * (1 - min_share) / min_share
+    return max(SAMPLE, 1 << (max(int(needed), 1) - 1).bit_length())
+
+
+def overlap_sizes(members: DataFrame, min_share: float, min_size: float = 1.0, p: int = PRECISION, k: int | None = None) -> DataFrame:
     """Pairs of sets of the same kind that share at least ``min_share`` (> 0) of the smaller one, with the estimated parts.
 
     Input columns kind, set, member; result kind, set_a < set_b (byte order), n_a, n_b, only_a, only_b, shared, shared_error
     (standard error; 0 where shared is exact), share. Sets of fewer than ``min_size`` members are left out. Null kinds, sets
-    and members are left out, repeated rows change nothing; an empty input, or sets that share nothing, give no row.
+    and members are left out, repeated rows change nothing; an empty input, or sets that share nothing, give no row. ``k`` is
+    the size of the samples (by default :func:`sample_size`).
     """
     if not 0 < min_share <= 1:
         raise ValueError("min_share must be above 0 and at most 1: all pairs would have to be compared otherwise")
+    k = k or sample_size(min_share)
     hashed = materialize(hashed_members(members), "hashed-members")
     sketches = materialize(sketch_sets(hashed, p, k).withColumn("id", F.monotonically_increasing_id()), "set-sketches")
     pairs = materialize(candidate_pairs(hashed, sketches, min_share, min_size), "pairs")

@@ -47,6 +47,10 @@ def test_found_pairs_equal_brute_force(spark, sets, share):
         assert abs(r["only_b"] - len(b - a)) < 0.03 * len(b) + 4 * r["shared_error"] + 1
 
 
+def test_sample_sizes():
+    assert [overlap.sample_size(x) for x in (1.0, 0.45, 0.3, 0.1, 0.01)] == [256, 256, 256, 1024, 8192]
+
+
 def test_nulls_and_empty(spark):
     rows = [("k", None, "a"), ("k", "s", None), (None, "s", "a")]
     df = spark.createDataFrame(rows, "kind STRING, set STRING, member STRING")
