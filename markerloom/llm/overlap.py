@@ -301,14 +301,24 @@ def _bitmap_task(bits: int):
     return run
 
 
+def _joined_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = None
+    for batch in batches:
+        for raw in batch.column("bits"):
+            taken = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
+            out = taken.copy() if out is None else np.bitwise_or(out, taken, out=out)
+    if out is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["bits"])
+
+
 def sampled_bitmap(sketches: DataFrame) -> tuple[bytes, int]:
     """Two bits for each sampled member, 16 bits of room each up to ``BITMAP_BITS`` (16 MB); beyond that more rows pass, none is lost."""
     n = sketches.agg(F.sum(F.size("sample"))).first()[0] or 0
     bits = min(BITMAP_BITS, max(1 << 16, 1 << int(16 * n).bit_length()))
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for r in sketches.select("sample").coalesce(8).mapInArrow(_bitmap_task(bits), "bits BINARY").toLocalIterator():  # at most eight maps
-        out |= np.frombuffer(r["bits"], dtype=np.uint8)
-    return out.tobytes(), bits
+    # At most eight maps meet in one task; one comes to the driver.
+    maps = sketches.select("sample").coalesce(8).mapInArrow(_bitmap_task(bits), "bits BINARY").repartition(1).mapInArrow(_joined_task, "bits BINARY")
+    row = maps.first()
+    return (bytes(row["bits"]) if row else bytes(bits // 8)), bits
 
 
 def _sampled_task(shared, bits: int):
