@@ -33,7 +33,7 @@ def unique_markers(occurrences: DataFrame, extra: Sequence[str] = (), drop_redun
     """Occurrences of tags that only one taxon has. Uniqueness is judged on all occurrences; then, with ``drop_redundant``, a tag is dropped for genomes that have it more than once.
 
     Whether a tag's taxa are all the same is found with partial aggregation in every task, so a tag that nearly all genomes have is one state
-    per task, and only tags of a single taxon are joined back. No window holds the occurrences of a tag; a join on a crowded tag can be split.
+    per task, and only tags of a single taxon are joined back. No window holds the occurrences of a tag; a join on a crowded tag can be split. Occurrences with a null in an ``extra`` column are left out.
     """
     keys = [*extra, "level", "tag"]
     # Two 64-bit hashes stand for the taxon: smallest and largest text can't be kept in a hash aggregate and would have every task sort its rows.
@@ -42,10 +42,8 @@ def unique_markers(occurrences: DataFrame, extra: Sequence[str] = (), drop_redun
     # The number of occurrences is kept up to the filter (it is never 0), so that both sides read the same shuffled counts.
     judged = occurrences.groupBy(*keys).agg(*bounds, F.max("n").alias("most"))
     alone = judged.where("min_0 = max_0 AND min_1 = max_1 AND most > 0").select(*keys)
-    own = occurrences.where("n = 1") if drop_redundant else occurrences
-    # Null-safe, as a null in an extra column is a key like any other here.
-    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"u.{k}")) for k in extra] + [F.col(f"o.{k}") == F.col(f"u.{k}") for k in ("level", "tag")]
-    return own.alias("o").join(alone.alias("u"), same, "left_semi").select("o.*")
+    # Grouped as it is joined: the tags that are alone are not moved again.
+    return (occurrences.where("n = 1") if drop_redundant else occurrences).join(alone, keys, "left_semi").select(*occurrences.columns)
 
 
 def gcf_theory(markers: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
